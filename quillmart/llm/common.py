@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmart.functions.durable import durable
 
-__all__ = ["durable", "held_out", "label_sample", "rank_in_groups", "read", "source_key"]
+__all__ = ["durable", "free_names", "held_out", "label_sample", "rank_in_groups", "read", "rows_of", "source_key"]
 
 #: Python's and the contract's white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -60,3 +60,21 @@ def rank_in_groups(rows: DataFrame, group: str, order: list[Column], seed: int,
     inside = Window.partitionBy(group, "_b").orderBy("_h", *order)
     numbered = keyed.withColumn("_i", F.row_number().over(inside) - 1)
     return numbered.join(offsets, [group, "_b"]).withColumn("rank", F.col("_o") + F.col("_i")).drop("_h", "_b", "_o", "_i")
+
+
+def free_names(rows: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores in front until the rows have no such column in any case."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def rows_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents, with their own columns, whose doc_id (null counts as a value) is among ``ids`` (doc_id)."""
+    (own,) = free_names(documents, "_kept_id")
+    wanted = ids.select(F.col("doc_id").alias(own)).distinct()
+    return documents.join(wanted, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import BLANKS, durable
+from quillmart.llm.common import BLANKS, durable, rows_of
 
 #: A text is dealt in parts once it has more copies than this and more than one row in ten thousand.
 LEAST_COPIES, MOST_HOT = 64, 10_000
@@ -79,8 +79,7 @@ def exact_dedup(documents: DataFrame) -> DataFrame:
 
 def drop_copies(documents: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns; of rows that repeat one doc_id every kept one stays."""
-    kept = exact_dedup(documents).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return rows_of(documents, exact_dedup(documents).where("kept"))
 
 
 OP4_SQL = r"""

@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import rank_in_groups, source_key
+from quillmart.llm.common import free_names, rank_in_groups, source_key
 
 #: Slots of one period of the schedule; target weights are whole parts of it.
 PERIOD, MOST_SOURCES = 4096, 100_000
@@ -96,7 +96,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """
     names = documents.columns
     places = mix_sources(documents, **options)
-    first = places.groupBy(F.col("doc_id").alias("_id"), F.col("_k").alias("_key"), F.col("_crc").alias("_sum")).agg(F.min(F.struct("_slot", "_within")).alias("_place"))
-    own = documents.select(*[F.col(c) for c in names], source_key(F.col("source")).alias("_mix_k"), F.crc32(F.coalesce("text", F.lit(""))).alias("_mix_crc"))
-    found = own.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mix_k") == F.col("_key")) & (F.col("_mix_crc") == F.col("_sum")))
-    return found.repartitionByRange("_place", "doc_id").sortWithinPartitions("_place", "doc_id").select(*names)
+    id_, key, crc, place = free_names(documents, "_mix_id", "_mix_key", "_mix_crc", "_mix_place")
+    first = places.groupBy(F.col("doc_id").alias(id_), F.col("_k").alias(key), F.col("_crc").alias(crc)).agg(F.min(F.struct("_slot", "_within")).alias(place))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (source_key(F.col("source")) == F.col(key)) & (F.crc32(F.coalesce("text", F.lit(""))) == F.col(crc))
+    return documents.join(first, same).repartitionByRange(place, "doc_id").sortWithinPartitions(place, "doc_id").select(*names)

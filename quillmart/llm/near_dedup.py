@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import durable
+from quillmart.llm.common import durable, rows_of
 from quillmart.operators.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -248,5 +248,4 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def drop_near_copies(documents: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns: one of each component, and all rows with a null id."""
-    kept = near_duplicates(documents).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return rows_of(documents, near_duplicates(documents).where("kept"))

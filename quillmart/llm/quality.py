@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import durable, held_out, label_sample
+from quillmart.llm.common import durable, free_names, held_out, label_sample
 
 #: The most labelled rows that are used, half for the dictionaries and half for the calibration; the most pieces of a
 #: class that train its dictionary, and their length; the size of a dictionary.
@@ -147,5 +147,5 @@ def good_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0
             table = np.array([sizes.features(t) for t in part]).reshape(-1, FEATURES)
             yield pd.Series(1 / (1 + np.exp(-np.clip(table @ w, -35, 35))))
 
-    judged = documents.select(*names, score(F.coalesce("text", F.lit(""))).alias("_quality_score"))
-    return judged.where(F.col("_quality_score") >= threshold).select(*names)
+    (judged,) = free_names(documents, "_quality_score")
+    return documents.withColumn(judged, score(F.coalesce("text", F.lit("")))).where(F.col(judged) >= threshold).select(*names)
