@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A blank that is safe to cut before: what follows begins a token of its own, together with the blank.
-_OTHER_BLANK = re.compile(r" (?![!-~\w])")
+#: A blank is safe to cut before if this follows: it begins a token of its own, together with the blank.
+_SAFE = re.compile(r"[!-~\w]")
 _CUT = re.compile(r"(?= [!-~\w])")
-_MOST_KNOWN = 400_000
-_tokenizers: dict[str, object] = {}
+#: Words that are remembered, at some 200 bytes each.
+_MOST_KNOWN = 1_000_000
+#: Bytes of text that are encoded at a time.
+_PORTION = 8 << 20
+_tokenizers: dict[tuple[str, int], Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -26,34 +32,116 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+# The public pattern of words of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Up to here all versions of Unicode agree on what letters and digits are.
+_LATIN_END = "\u0250"
+
+
+def ranked(tokenizer):
+    """The same vocabulary by ranks, which encodes words faster; None where ids are not in the order of merges."""
+    import tiktoken
+
+    known = json.loads(tokenizer.to_str())
+    vocabulary, before = tokenizer.get_vocab(with_added_tokens=False), known["pre_tokenizer"] or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    merged = [x if isinstance(x, list) else x.split(" ") for x in known["model"].get("merges", [])]
+    if not plain or known["normalizer"] or any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merged)):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    ranks = {bytes(byte[c] for c in x): i for x, i in vocabulary.items() if i < 256 + len(merged)}
+    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers.
+    """Ids of whole texts, with an end id after each.
 
     The byte-level vocabulary never joins a word to the one before it, so a text is cut before blanks that are
-    followed by a printable character, and ids of the parts are remembered (and forgotten when there are too many).
+    followed by a printable character. The same vocabulary by ranks encodes words of Latin script. Arrow cuts a portion of texts at once and numbers its distinct words; each is
+    encoded once and remembered (words are forgotten when there are too many). Texts with a blank that is not safe
+    are cut one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = 2):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end = Tokenizer.from_file(path), struct.pack("<I", end_id)
+        self.ranked = ranked(self.tokenizer)
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, cut = self.known, []
+    def _lines(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words that begin with their only white space, many to a line each in one call.
+
+        A line's end before a blank is a token of its own, so it tells the words' ids apart.
+        """
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.ranked.encode_ordinary("\n".join(part)), "<u4")
+            ends = np.flatnonzero(ids == self.line).tolist()
+            raw = ids.tobytes()
+            yield from (raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)], strict=True))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        known = self.known
         if len(known) > _MOST_KNOWN:
             known.clear()
-        for text in texts:
-            if _OTHER_BLANK.search(text):
-                cut.append(_CUT.split(text))
+        new, plain, other = [x for x in dict.fromkeys(words) if x not in known], [], []
+        for x in new:
+            if self.ranked is None or not (x.isascii() or max(x) < _LATIN_END) or any(t in x for t in self.added):
+                other.append(x)
+            elif x[:1] == " " and x.split() == [x[1:]]:
+                plain.append(x)
             else:
-                first, *rest = text.split(" ")
-                cut.append([first, *[" " + x for x in rest]])
-        new = list({x for parts in cut for x in parts if x not in known})
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[x] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join([known[x] for x in parts]) for parts in cut]
+                known[x] = np.array(self.ranked.encode_ordinary(x), "<u4").tobytes()
+        known.update(zip(plain, self._lines(plain), strict=True))
+        for x, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[x] = np.array(e.ids, "<u4").tobytes()
+        return [known[x] for x in words]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where the next text begins, for each text (not null)."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        parts = pc.split_pattern(texts, " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets = offsets - offsets[0]
+        unit, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        n, first = len(texts), offsets[:-1]
+        unsafe = np.array([_SAFE.match(x) is None for x in distinct])[unit]
+        unsafe[first] = False
+        odd = np.flatnonzero(np.add.reduceat(unsafe, first)) if unsafe.any() else np.zeros(0, np.int64)
+
+        # units: distinct words after a blank, what each text begins with, and the end id
+        begin = self._words([distinct[i] for i in unit[first]])
+        whole = texts.take(pa.array(odd)).to_pylist()
+        for i, text in zip(odd.tolist(), whole, strict=True):
+            begin[i] = b"".join(self._words(_CUT.split(text)))
+        rest = np.ones(len(unit), bool)
+        for i in odd:
+            rest[offsets[i] + 1 : offsets[i + 1]] = False
+        unit[first] = len(distinct) + np.arange(n)
+        last = np.cumsum(np.add.reduceat(rest, first, dtype=np.int64))
+        unit = np.insert(unit[rest], last, len(distinct) + n)
+
+        table = [*self._words([" " + x for x in distinct]), *begin, self.end]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat, at = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
+        size = sizes[unit]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(at[unit] - (ends - size), size) + np.arange(ends[-1])]
+        return ids, ends[last + np.arange(n)]
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about _PORTION bytes of text, one row at least."""
+    turn = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64)) // _PORTION
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
 
 def pieces_of(length: int, room: int) -> list[tuple[int, int]]:
@@ -104,20 +192,19 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 
 
 def _pack(path: str, room: int, end_id: int, most_open: int, with_ids: bool):
-    end = struct.pack("<I", end_id)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizers.get(path) or _tokenizers.setdefault(path, Encoder(path))
+        encoder = _tokenizers.get((path, end_id)) or _tokenizers.setdefault((path, end_id), Encoder(path, end_id))
         bins, base = BestFit(room, most_open), TaskContext.get().partitionId() << 32
         for whole in batches:
             rows: list[tuple] = []
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist()), strict=True):
-                    ids += end
-                    for i, (start, length) in enumerate(pieces_of(len(ids) // 4, room)):
-                        piece = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc, i, start, length, zlib.crc32(piece), piece if with_ids else b""))
+            for batch in portions(whole):
+                ids, ends = encoder.encode(batch["text"])
+                raw, begin = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
+                for doc, end in zip(batch["doc_id"].to_pylist(), ends.tolist(), strict=True):
+                    for i, (start, length) in enumerate(pieces_of(end - begin, room)):
+                        piece = raw[4 * (begin + start) : 4 * (begin + start + length)]
+                        rows.append((doc, i, start, length, zlib.crc32(piece), bytes(piece) if with_ids else b""))
+                    begin = end
             rows.sort(key=lambda r: -r[3])
             places = [bins.put(r[3]) for r in rows]
             columns = [*zip(*rows, strict=True)] or [()] * 6
