@@ -1,4 +1,4 @@
 """The query catalogue."""
 
-from quillmart.plans import mart, texts  # noqa: F401
+from quillmart.plans import mart, texts, workflow  # noqa: F401
 from quillmart.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
