@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillmart.llm.common import held_out, label_sample
 
 #: Weights; the most labelled rows that are learned from; passes over them; rows that a feature must occur in.
-WIDTH, SAMPLE_ROWS, PASSES, LEAST_ROWS = 1 << 22, 16_384, 4, 8
+WIDTH, SAMPLE_ROWS, PASSES, LEAST_ROWS = 1 << 22, 16_384, 4, 4
 #: FTRL-proximal: learning rate, its damping, L2, and L1 for each thousand examples (one at least).
 ALPHA, BETA, L2, L1_PER_THOUSAND = 1.0, 1.0, 1.0, 1.7
 _WORD = re.compile(r"[^\W\d_]+")
