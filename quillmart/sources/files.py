@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,19 @@ def payload_tables(df: DataFrame, key: str, column: str) -> dict[str, DataFrame]
     products = parsed.select(key, F.posexplode("p.products").alias("product_no", "product"))
     child = lambda name: products.select(key, "product_no", F.posexplode(f"product.{name}").alias("item_no", "item")).select(key, "product_no", "item_no", "item.*")
     return {"product": products.select(key, "product_no", "product.name", "product.company", "product.release_ym", "product.type_code"), "coverage": child("coverages"), "metric": child("metrics")}
+
+
+def office_csv_out(df: DataFrame, path: str) -> None:
+    """CSV with a header and the byte order mark that office programs want, in every file of the folder."""
+    df.withColumnRenamed(df.columns[0], f"\ufeff{df.columns[0]}").write.mode("overwrite").option("header", True).csv(path)
+
+
+def sheets_out(sheets: dict[str, DataFrame], folder: str) -> None:
+    """The sheets of a workbook as one folder of CSV each."""
+    for name, df in sheets.items():
+        office_csv_out(df, f"{folder}/{name}")
+
+
+def plans_out(plans: list[DataFrame], path: str) -> None:
+    """Plans with different columns as one CSV whose header is the union of their columns."""
+    office_csv_out(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), plans), path)

@@ -1,0 +1,52 @@
+"""A paged search service as a Spark data source; a file of JSON lines stands in for the service."""
+
+from __future__ import annotations
+
+import itertools
+import json
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+# Limits of the service.
+MOST_PER_PAGE, LAST_START = 100, 1000
+
+
+class Page(InputPartition):
+    def __init__(self, start: int):
+        self.start = start
+
+
+class PagedReader(DataSourceReader):
+    """One task a page; pages behind the last result are empty, which stands for stopping at a short page."""
+
+    def __init__(self, options):
+        self.path = options["path"]
+        self.size = max(1, min(MOST_PER_PAGE, int(options.get("pagesize", MOST_PER_PAGE))))
+        self.last = min(LAST_START, int(options.get("laststart", LAST_START)))
+
+    def partitions(self) -> list[Page]:
+        return [Page(start) for start in range(1, self.last + 1, self.size)]
+
+    def fetch(self, start: int) -> list[dict]:
+        """The results from ``start`` (the first is 1) on, one page at most."""
+        with open(self.path, encoding="utf-8") as lines:
+            return [json.loads(x) for x in itertools.islice(lines, start - 1, start - 1 + self.size)]
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        for i, item in enumerate(self.fetch(partition.start)):
+            yield partition.start + i, item.get("title"), item.get("link"), item.get("published")
+
+
+class PagedSource(DataSource):
+    """Options: path, pageSize (1 to 100), lastStart (to 1000). Register with ``spark.dataSource.register``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quillmart_paged"
+
+    def schema(self) -> str:
+        return "item_no long, title string, link string, published string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return PagedReader({k.lower(): v for k, v in self.options.items()})
