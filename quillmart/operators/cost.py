@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def priced(runs: DataFrame, prices: DataFrame) -> DataFrame:
     """Runs with the price of their model, else of the provider's default model, else none."""
     cols = ["in_per_m", "out_per_m", "cached_per_m"]
-    exact = F.broadcast(prices.select("provider", "model", *[F.col(c).alias(f"_{c}") for c in cols]))
-    default = F.broadcast(prices.where("model = 'default'").select("provider", *[F.col(c).alias(f"d_{c}") for c in cols]))
+    exact = prices.select("provider", "model", *[F.col(c).alias(f"_{c}") for c in cols])
+    default = prices.where("model = 'default'").select("provider", *[F.col(c).alias(f"d_{c}") for c in cols])
     joined = runs.join(exact, ["provider", "model"], "left").join(default, "provider", "left")
     return joined.select(*runs.columns, *[F.coalesce(f"_{c}", f"d_{c}").alias(c) for c in cols])
 

@@ -57,7 +57,7 @@ def pivot_max_avg(spark, d):
 SELECT n_name, count(DISTINCT c_custkey) AS customers FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) ON c_nationkey = n_nationkey GROUP BY n_name""")
 def pivot_null_keys(spark, d):
     near = table(spark, d, "nation").where("n_regionkey < 2")
-    rows = table(spark, d, "customer").join(F.broadcast(near), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    rows = table(spark, d, "customer").join(near, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return pivot(rows, PivotSpec(["n_name"], [Metric("customers", "count_distinct", "c_custkey")]))
 
 
@@ -79,7 +79,7 @@ LEFT JOIN latest ON user_id = c_custkey""")
 def view_star_search(spark, d):
     counts = table(spark, d, "orders").where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(F.count_distinct("o_orderkey").alias("orders"))
     latest = best_per_group(table(spark, d, "events"), ["user_id"], [F.desc("event_id")]).select("user_id", "event_type", "value")
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     rows = rows.join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").join(latest, F.col("c_custkey") == F.col("user_id"), "left")
     return rows.select("c_custkey", "n_name", F.coalesce("orders", F.lit(0)).alias("orders"), "event_type", "value")
 
@@ -138,7 +138,7 @@ def union_alias_observation(spark, d):
 SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
 WHERE (n_regionkey IN (1, 2) OR c_mktsegment IN ('MACHINERY')) AND c_mktsegment NOT IN ('FURNITURE') AND coalesce(n_name, 'active') NOT IN ('FRANCE')""")
 def company_inclusion_filter(spark, d):
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     flag = F.when(F.col("n_regionkey").isin(1, 2), "Y").otherwise("N")
     return rows.where(P.included(flag, F.col("c_mktsegment"), F.col("n_name"), ["MACHINERY"], ["FURNITURE"], ["FRANCE"])).select("c_custkey", "n_name")
 
