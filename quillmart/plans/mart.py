@@ -340,6 +340,18 @@ def stream_dedup_counts(spark, d):
     return rows.groupBy("event_type").agg(F.count_distinct("event_id").alias("n"), F.max("value").alias("largest"))
 
 
+@query("""
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, max(value) AS largest FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""")
+def stream_window_counts(spark, d):
+    """Counts of the days that the watermark, an hour behind the latest event, has closed."""
+    from quillmart.streaming.ingest import window_counts
+
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    rows = window_counts(spark, d, "events.parquet", schema)
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "largest")
+
+
 @query("SELECT strftime(range, '%Y-%m-%d') AS first_day, strftime(least(range + INTERVAL 1 MONTH - INTERVAL 1 DAY, DATE '2024-05-20'), '%Y-%m-%d') AS last_day FROM range(DATE '2023-11-01', DATE '2024-05-02', INTERVAL 1 MONTH)")
 def month_ranges(spark, d):
     """Calendar months clipped to a range, here 2023-11-01 to 2024-05-20."""
@@ -350,11 +362,14 @@ def month_ranges(spark, d):
 
 @query()
 def name_similarity_difflib(spark, d):
-    """Names of parts in one block of brand, type and size, compared pairwise within the block."""
+    """Different names of one block of brand, type and size, compared pairwise; ids are the smallest of a name.
+
+    Parts of equal name are one row with their number, so a block costs the square of its names, not of its parts.
+    """
     from quillmart.functions.udfs import name_similarity
 
-    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    a, b = part.alias("a"), part.alias("b")
-    same = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_size") == F.col("b.p_size"))
-    pairs = a.join(b, same & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return pairs.select(F.col("a.p_partkey").alias("left_id"), F.col("b.p_partkey").alias("right_id"), name_similarity("a.p_name", "b.p_name").alias("similarity"))
+    block = ["p_brand", "p_type", "p_size"]
+    names = table(spark, d, "part").groupBy(*block, "p_name").agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("members"))
+    side = lambda s: names.select(*block, *[F.col(c).alias(f"{s}_{c}") for c in ("p_name", "id", "members")])
+    pairs = side("left").join(side("right"), block).where("left_id < right_id")
+    return pairs.select("left_id", "right_id", "left_members", "right_members", name_similarity("left_p_name", "right_p_name").alias("similarity"))

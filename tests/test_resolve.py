@@ -36,3 +36,25 @@ def test_mapped_stems_differences_and_ranks(spark):
     ).first()
     assert row.mapped == ["one", "two"] and row.stems == ["new old name", "old name", "new old", "old"]
     assert row.changed == ["m"] and row.up is True and row.down is False
+
+
+def test_name_similarity_of_all_blocks(spark, sf_dir):
+    import difflib
+    from collections import defaultdict
+    from itertools import combinations
+
+    from quillmart import plans
+
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # the smallest table has one such pair
+    blocks = defaultdict(lambda: defaultdict(list))
+    for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect():
+        blocks[r.p_brand, r.p_type, r.p_size][r.p_name].append(r.p_partkey)
+    want = set()
+    for names in blocks.values():
+        for (a, x), (b, y) in combinations(sorted(names.items(), key=lambda n: min(n[1])), 2):
+            short, long = sorted((a, b), key=len)
+            tokens = set(a.split()), set(b.split())
+            score = max(0.82, len(short) / len(long)) if short in long else max(difflib.SequenceMatcher(None, a, b).ratio(), len(tokens[0] & tokens[1]) / len(tokens[0] | tokens[1]))
+            want.add((min(x), min(y), len(x), len(y), round(score, 9)))
+    got = plans.QUERIES["name_similarity_difflib"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {(*r[:4], round(r.similarity, 9)) for r in got} == want
