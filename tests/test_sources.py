@@ -47,3 +47,34 @@ def test_plans_with_different_columns_share_a_header(spark, tmp_path):
 def test_sheets_are_folders(spark, tmp_path):
     files.sheets_out({"left": spark.range(2), "right": spark.range(3)}, str(tmp_path / "book"))
     assert [files.dictionary(spark, str(tmp_path / "book" / n), "id string").count() for n in ("left", "right")] == [2, 3]
+
+
+def test_requests_go_out_and_results_come_in(spark, tmp_path):
+    rows = spark.createDataFrame([(7, "a\n\"b\""), (8, None)], "id long, prompt string")
+    files.requests_out(rows, "id", ["prompt"], str(tmp_path / "requests"))
+    lines = sorted(x for p in Path(tmp_path / "requests").glob("part-*") for x in p.read_text("utf-8").splitlines())
+    assert [json.loads(x) for x in lines] == [{"key": "7", "prompt": "a\n\"b\""}, {"key": "8"}]
+    (tmp_path / "results.jsonl").write_text('{"key": "7", "response": {"verdict": "yes"}}\n{"key": "8", "error": "late"}\nnot json\n', "utf-8")
+    got = files.results_in(spark, str(tmp_path / "results.jsonl"), "verdict string").collect()
+    assert sorted(((r.key, r.error, r.payload and r.payload.verdict) for r in got), key=repr) == sorted([("7", None, "yes"), ("8", "late", None), (None, None, None)], key=repr)
+    assert {r.raw for r in got if r.key is None} == {"not json"}
+
+
+def test_rfc_dates_keep_the_wall_clock(spark):
+    df = spark.createDataFrame([("Mon, 01 Jul 2024 09:05:00 +0900",), ("1 Jul 2024 09:05:00 GMT",), ("yesterday",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(files.rfc_timestamp(df.t)).collect()]
+    assert [x and x.isoformat() for x in got] == ["2024-07-01T09:05:00", "2024-07-01T09:05:00", None, None, None]
+
+
+def test_payloads_become_child_tables(spark):
+    payload = {"products": [{"name": "p", "company": "c", "coverages": [{"name": "x", "max_amount": 5}, {"name": "y"}], "metrics": []}, {"name": "q", "metrics": [{"name": "m", "value": 1.5, "unit": "u"}]}]}
+    df = spark.createDataFrame([(1, json.dumps(payload)), (2, "broken"), (3, None), (4, "{}")], "id int, body string")
+    tables = files.payload_tables(df, "id", "body")
+    assert sorted((r.id, r.product_no, r.name, r.company) for r in tables["product"].collect()) == [(1, 0, "p", "c"), (1, 1, "q", None)]
+    assert sorted(map(tuple, tables["coverage"].collect())) == [(1, 0, 0, "x", 5), (1, 0, 1, "y", None)]
+    assert list(map(tuple, tables["metric"].collect())) == [(1, 1, 0, "m", 1.5, "u")]
+
+
+def test_alignment_adds_what_is_missing(spark):
+    got = files.aligned(spark.createDataFrame([(1, "x")], "id int, extra string"), {"id": "bigint", "name": "string"})
+    assert got.columns == ["id", "name"] and got.dtypes == [("id", "bigint"), ("name", "string")] and tuple(got.first()) == (1, None)
