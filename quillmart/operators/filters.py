@@ -41,13 +41,7 @@ def masked_month(ym: Column, first: int, last: int) -> Column:
     return F.when(visible, ym).otherwise("")
 
 
-def mentioning(base: DataFrame, key: str, sources: list[tuple[DataFrame, str, list[str]]], needle: str, normal) -> DataFrame:
-    """Rows of the base whose key any source mentions: the union of matching keys, then a semi join."""
-    keys = None
-    for df, source_key, columns in sources:
-        hit = F.lit(False)
-        for c in columns:
-            hit = hit | normal(F.col(c)).contains(needle)
-        found = df.where(hit).select(F.col(source_key).alias("_key"))
-        keys = found if keys is None else keys.unionByName(found)
-    return base.join(keys.distinct(), F.col(key) == F.col("_key"), "left_semi")
+def mentioning(base: DataFrame, key: str, own: Column, found: DataFrame) -> DataFrame:
+    """Rows of the base that hold the text themselves or whose key is among ``found`` (one column); the base is read once."""
+    keys = found.select(F.col(found.columns[0]).alias("_key")).distinct()
+    return base.join(keys, F.col(key) == F.col("_key"), "left").where(F.coalesce(own, F.lit(False)) | F.col("_key").isNotNull()).drop("_key")

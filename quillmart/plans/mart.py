@@ -136,32 +136,31 @@ def union_alias_observation(spark, d):
 
 @query("""
 SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
-WHERE (n_regionkey IN (1, 2) OR c_mktsegment IN ('MACHINERY')) AND c_mktsegment NOT IN ('FURNITURE') AND coalesce(n_name, 'active') NOT IN ('FRANCE')""")
+WHERE (n_regionkey IN (1, 2) OR c_mktsegment IN ('MACHINERY')) AND c_mktsegment NOT IN ('FURNITURE') AND coalesce(n_name, 'active') NOT IN ('NATION_3')""")
 def company_inclusion_filter(spark, d):
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     flag = F.when(F.col("n_regionkey").isin(1, 2), "Y").otherwise("N")
-    return rows.where(P.included(flag, F.col("c_mktsegment"), F.col("n_name"), ["MACHINERY"], ["FURNITURE"], ["FRANCE"])).select("c_custkey", "n_name")
+    return rows.where(P.included(flag, F.col("c_mktsegment"), F.col("n_name"), ["MACHINERY"], ["FURNITURE"], ["NATION_3"])).select("c_custkey", "n_name")
 
 
 @query("""
-SELECT p_partkey FROM part p WHERE NOT (lower(p_type) LIKE '%brass%' OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 50))""")
+SELECT p_partkey FROM part p WHERE NOT (lower(p_type) LIKE '%promo%' OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 50))""")
 def policy_exclusion(spark, d):
     part = table(spark, d, "part")
-    named = part.where(F.lower("p_type").contains("brass")).select("p_partkey")
+    named = part.where(F.lower("p_type").contains("promo")).select("p_partkey")
     seen = table(spark, d, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"))
     return part.join(named.unionByName(seen).distinct(), "p_partkey", "left_anti").select("p_partkey")
 
 
 @query("""
-SELECT p_partkey, p_name FROM part p WHERE contains(translate(lower(coalesce(p_name, '')), ' -/', ''), 'e1') OR contains(translate(lower(p_brand), ' -/', ''), 'brand#1')
+SELECT p_partkey, p_name FROM part p WHERE contains(translate(lower(coalesce(p_name, '')), ' -/', ''), 'ering') OR contains(translate(lower(p_brand), ' -/', ''), 'brand#1')
   OR EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey AND contains(translate(lower(s_name), ' -/', ''), '00007'))""")
 def keyword_search(spark, d):
-    part = table(spark, d, "part")
-    lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    a = P.mentioning(part, "p_partkey", [(part, "p_partkey", ["p_name"])], "e1", X.compacted)
-    b = P.mentioning(part, "p_partkey", [(part, "p_partkey", ["p_brand"])], "brand#1", X.compacted)
-    c = P.mentioning(part, "p_partkey", [(lines, "l_partkey", ["s_name"])], "00007", X.compacted)
-    return a.unionByName(b).unionByName(c).select("p_partkey", "p_name").distinct()
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    named = table(spark, d, "supplier").where(F.contains(X.compacted(F.col("s_name")), F.lit("00007"))).select("s_suppkey")
+    sold = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(named, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").select("l_partkey")
+    own = F.contains(X.compacted(F.col("p_name")), F.lit("ering")) | F.contains(X.compacted(F.col("p_brand")), F.lit("brand#1"))
+    return P.mentioning(part, "p_partkey", own, sold).select("p_partkey", "p_name")
 
 
 @query("""
@@ -173,10 +172,10 @@ def yearmonth_filter(spark, d):
     return rows.select("o_orderkey", P.masked_month(ym, 1996, 1998).alias("shown"))
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE strftime(ts, '%Y-%m') >= strftime(DATE '2024-06-30' - INTERVAL 62 DAY, '%Y-%m') GROUP BY event_type")
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%Y-%m') >= strftime(DATE '2001-06-30' - 62, '%Y-%m') GROUP BY o_orderstatus")
 def rolling_cutoff(spark, d):
-    cutoff = F.date_format(F.date_sub(F.lit("2024-06-30").cast("date"), 31 * 2), "yyyy-MM")
-    return table(spark, d, "events").where(F.date_format("ts", "yyyy-MM") >= cutoff).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    cutoff = F.date_format(F.date_sub(F.lit("2001-06-30").cast("date"), 31 * 2), "yyyy-MM")
+    return table(spark, d, "orders").where(F.date_format("o_orderdate", "yyyy-MM") >= cutoff).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -317,11 +316,12 @@ def merge_repoint_children(spark, d):
     return moved.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"))
 
 
-@query("SELECT p_type, p_brand FROM (SELECT p_type, count(DISTINCT p_brand) AS n, min(p_brand) AS p_brand FROM part GROUP BY p_type) WHERE n = 1")
+@query("SELECT token, p_brand FROM (SELECT p_name || '#' || p_size AS token, count(DISTINCT p_brand) AS n, min(p_brand) AS p_brand FROM part GROUP BY 1) WHERE n = 1")
 def brand_unique_owner(spark, d):
     from quillmart.operators.rules import unique_owner
 
-    return unique_owner(table(spark, d, "part"), "p_type", "p_brand")
+    rows = table(spark, d, "part").select(F.concat_ws("#", "p_name", F.col("p_size").cast("string")).alias("token"), "p_brand")
+    return unique_owner(rows, "token", "p_brand")
 
 
 @query("""
