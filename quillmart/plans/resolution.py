@@ -348,3 +348,26 @@ def name_reconciliation(spark, d):
     rows = part.join(suggested, F.col("p_partkey") == F.col("k"), "left")
     rows = rows.select("p_partkey", R.first_match([("verifier", by_verifier), ("candidate", by_text)], "rejected").alias("source"), F.col("p_name").alias("before"), after.alias("after"))
     return rows.where(~F.col("after").eqNullSafe(F.col("before")))
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?]+[ \n]+|\n+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+w AS (SELECT doc_id, i, lower(array_to_string(l[greatest(1, i):i + 2], ' ')) AS around FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM s)),
+p AS (SELECT doc_id, CAST(i AS INTEGER) AS i, CASE WHEN regexp_matches(around, 'licen[sc]e') THEN 60 ELSE 0 END + CASE WHEN regexp_matches(around, 'copyright|permission') THEN 40 ELSE 0 END - CASE WHEN regexp_matches(around, '(^|[^a-z])not([^a-z]|$)|without') THEN 50 ELSE 0 END AS points FROM w)
+SELECT doc_id, i, points FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, i) AS n FROM p) WHERE n = 1 AND points > 0""")
+def best_context_window(spark, d):
+    """The window of three sentences with the most points, the first of equals.
+
+    Each sentence is matched once; a window adds up what its sentences hold. The best is exploded, so that no later
+    filter is pushed below and computed again.
+    """
+    rows = table(spark, d, "documents").select("doc_id", X.sentences(F.coalesce("text", F.lit(""))).alias("l"))
+    worth = {"licen[sc]e": 60, "copyright|permission": 40, "(^|[^a-z])not([^a-z]|$)|without": -50}
+    marks = F.transform("l", lambda x: F.array(*[F.lower(x).rlike(p) for p in worth]))
+    flagged = rows.select("doc_id", F.explode(F.array(marks)).alias("m"))
+    near = lambda i: F.slice("m", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3))
+    any_holds = lambda i, k: F.exists(near(i), lambda f: f[k])
+    points = lambda i: sum((F.when(any_holds(i, k), n).otherwise(0) for k, n in enumerate(worth.values())), F.lit(0))
+    best = F.array_max(F.transform("m", lambda _, i: F.struct(points(i).alias("points"), (-i).alias("back"))))
+    found = flagged.select("doc_id", F.explode(F.array(best)).alias("b"))
+    return found.where("b.points > 0").select("doc_id", (-F.col("b.back")).alias("i"), "b.points")

@@ -138,10 +138,12 @@ WITH s AS (SELECT doc_id, unnest(l) AS sentence, unnest(range(len(l))) AS i FROM
 w AS (SELECT doc_id, i, sentence, string_agg(sentence, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS around FROM s)
 SELECT doc_id, CAST(i AS INTEGER) AS i, around FROM w WHERE regexp_matches(lower(sentence), 'licen[sc]e|trash')""")
 def snippet_windows(spark, d):
-    """Sentences around a hit, taken by slices of the sentence array: no shuffle by document."""
-    rows = docs(spark, d).select("doc_id", X.sentences(F.col("text")).alias("l")).select("doc_id", "l", F.posexplode("l").alias("i", "sentence"))
-    around = F.array_join(F.slice("l", F.greatest(F.col("i"), F.lit(1)), F.when(F.col("i") == 0, 2).otherwise(3)), " ")
-    return rows.where(F.lower("sentence").rlike("licen[sc]e|trash")).select("doc_id", "i", around.alias("around"))
+    """Sentences around a hit, cut out of the sentence array before it is exploded: no shuffle, one row a hit."""
+    rows = docs(spark, d).select("doc_id", X.sentences(F.col("text")).alias("l"))
+    hits = F.array_compact(F.transform("l", lambda x, i: F.when(F.lower(x).rlike("licen[sc]e|trash"), i)))
+    around = lambda i: F.array_join(F.slice("l", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " ")
+    found = rows.select("doc_id", F.explode(F.transform(hits, lambda i: F.struct(i.alias("i"), around(i).alias("around")))).alias("h"))
+    return found.select("doc_id", "h.i", "h.around")
 
 
 @query("""SELECT doc_id, span, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), 'under the ([A-Z][A-Za-z]+ [A-Za-z]+ ?[A-Za-z]*)', 1)) AS span FROM documents) GROUP BY ALL""")

@@ -68,3 +68,9 @@ def sheets_out(sheets: dict[str, DataFrame], folder: str) -> None:
 def plans_out(plans: list[DataFrame], path: str) -> None:
     """Plans with different columns as one CSV whose header is the union of their columns."""
     office_csv_out(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), plans), path)
+
+
+def preferred_first(df: DataFrame, preferred: list[str]) -> DataFrame:
+    """The preferred columns that there are, in their order, then the others in theirs."""
+    first = [c for c in preferred if c in df.columns]
+    return df.select(*first, *[c for c in df.columns if c not in first])
