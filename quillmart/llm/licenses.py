@@ -41,6 +41,30 @@ RULES = [
     ("CC-BY-NC-4.0", (12,)), ("CC-BY-SA-4.0", (14,)), ("CC-BY-4.0", (13,)), ("CC-BY-4.0", (15,)),
     ("MPL-2.0", (20,)), ("Unlicense", (22,)), ("Proprietary", (21,)),
 ]
+# Further forms of those sentences, whole as the licences have them, each with the same identifier.
+FORMS = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions": 3,
+    "Licensed under the Apache License, Version 2.0 (the License)": 5,
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": 16,
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": 17,
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": 18,
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": 19,
+}
+# Sentences that tell the versions of a licence apart, and their rules, which come before the others.
+MORE_SENTENCES = {
+    23: "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    24: "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    25: "either version 2 of the License, or (at your option) any later version",
+    26: "either version 3 of the License, or (at your option) any later version",
+    27: "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+}
+MORE_RULES = [("GPL-3.0", (9, 23)), ("GPL-3.0", (23,)), ("GPL-3.0", (24, 26)), ("GPL-2.0", (24, 25)), ("GPL-2.0", (27,)), ("GPL", (24,))]
+#: Licences that count only where no other is found.
+LAST = ["Proprietary"]
+#: A sentence of the scan ends at . ! ? ; : before white space, or at a line without a letter or digit.
+END = r"[.!?;:](?=[\x20\x09\n])|\n[^a-z0-9\n]*(?=\n)"
+#: The holder's name in the third clause of BSD.
+HOLDER = r"(neither[ \n]+the[ \n]+name[ \n]+of[ \n]+)(?:[a-z0-9]+[ X\n]+){1,20}?(nor[ \n]+the[ \n]+names[ \n]+of[ \n]+its[ \n]+contributors)"
 #: A sentence ends at a line's end, or at . ! ? ; : before white space.
 BREAK = r"[\n\r]+|[.!?;:][\x20\x09]+"
 
@@ -58,12 +82,29 @@ def known_sentences(sentences: dict[int, str]) -> dict[str, int]:
     return known
 
 
+def sentence_pattern(sentence: str) -> str:
+    """The sentence in marked text: words apart by a blank or a line's end, or by an end of its own."""
+    words = re.findall("[a-z0-9]+", sentence.lower())
+    gaps = re.findall("[^a-z0-9]+", sentence.lower().strip())
+    gaps = gaps[1:] if re.match("[^a-z0-9]", sentence.lower().strip()) else gaps
+    return "".join(w + (("[ X\n]+" if re.search(END, g) else "(?: | ?\n ?)") if last else "") for w, g, last in zip(words, [*gaps, ""], [1] * (len(words) - 1) + [0], strict=False))
+
+
+def marked(text: Column) -> Column:
+    """Lower case with X where a sentence ends, the ends of other lines, and one blank for all other than a-z and 0-9."""
+    lines = F.translate(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    plain = F.regexp_replace(F.regexp_replace(lines, END, "X"), "[^a-z0-9X\n]+", " ")
+    return F.regexp_replace(plain, HOLDER, "$1the copyright holder $2")
+
+
 def scan_licenses(documents: DataFrame, sentences: dict[int, str] | None = None, rules: list[tuple[str, tuple[int, ...]]] | None = None) -> DataFrame:
     """doc_id, sentence_ids, licenses (arrays) of every document.
 
-    Whole texts are split in sentences, and each normalised sentence is looked up among the known ones; those found,
-    in text order, are a sequence of identifiers. Each rule is looked for as a run of the sequence; in the order of
-    the rules, a match takes its sentences away from later rules. ``licenses`` is the sorted set of licences found.
+    Known sentences are looked for in the whole text, by one alternation, longest first. One begins and ends where a
+    sentence or a line does; between its words a line's end is a blank, so a wrapped notice, also behind comment marks,
+    is found as if it were on one line. Those found, in text order, are a sequence of identifiers. Each rule is looked
+    for as a run of the sequence; in the order of the rules, a match takes its sentences away from later rules.
+    ``licenses`` is the sorted set of licences found; those of LAST count only where there is no other.
     All of it is one projection of the scan: nothing is shuffled, so neither a frequent line nor a long text matters.
     The tables of sentences and rules are parameters and part of the plan, meant for hundreds of entries.
 
@@ -71,11 +112,14 @@ def scan_licenses(documents: DataFrame, sentences: dict[int, str] | None = None,
     a doc_id (null included) are scanned one by one. An empty table gives no rows; columns other than doc_id and text
     are ignored.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
-    known = known_sentences(sentences)
+    forms = FORMS if sentences is None else {}
+    sentences, rules = sentences or SENTENCES | MORE_SENTENCES, rules or MORE_RULES + RULES
+    known = {re.sub("[^a-z0-9]+", " ", s.lower()).strip(): i for s, i in forms.items()} | known_sentences(sentences)
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    parts = F.split(F.coalesce("text", F.lit("")), BREAK)
-    found = F.array_compact(F.transform(parts, lambda s: F.try_element_at(table, normal_sentence(s))))
+    ordered = sorted({sentence_pattern(s) for s in [*forms, *sentences.values()]}, key=lambda p: (-len(p), p))
+    pattern = rf"(?:^|[X\n]) ?({'|'.join(ordered)})(?= ?(?:[X\n]|$))"
+    found = F.transform(F.regexp_extract_all(marked(F.col("text")), F.lit(pattern), 1), lambda s: F.try_element_at(table, F.regexp_replace(s, "[ X\n]+", " ")))
+    found = F.array_compact(found)
     ids = {i: known[next(iter(known_sentences({i: s})))] for i, s in sentences.items()}
     rows = documents.select("doc_id", found.alias("sentence_ids"))
     line = F.concat(F.lit(","), F.array_join(F.transform("sentence_ids", lambda x: x.cast("string")), ",,"), F.lit(","))
@@ -85,7 +129,9 @@ def scan_licenses(documents: DataFrame, sentences: dict[int, str] | None = None,
         wanted = "".join(f",{ids[i]}," for i in run)
         rows = rows.withColumn(f"_hit{n}", F.when(F.col("_line").contains(wanted), F.lit(licence))).withColumn("_line", F.replace("_line", F.lit(wanted), F.lit(",x,")))
         hits.append(f"_hit{n}")
-    return rows.select("doc_id", "sentence_ids", F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))).alias("licenses"))
+    every = F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
+    first = F.array_except(every, F.array(*[F.lit(x) for x in LAST]))
+    return rows.select("doc_id", "sentence_ids", F.when(F.size(first) > 0, first).otherwise(every).alias("licenses"))
 
 
 def _oracle() -> str:

@@ -83,3 +83,87 @@ def test_license_rules_in_order_and_their_edges(spark, edge, no_documents):
     assert found.count() == edge.count()
     assert all(r["licenses"] == [] for r in found.collect())
     assert licenses.scan_licenses(no_documents).collect() == []
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.
+"""
+APACHE = """# Copyright 2020 Some One
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+"""
+BSD_2 = """Copyright (c) 2020, Some One. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+BSD_3 = f"""{BSD_2}3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "licence"),
+    [
+        (MIT, "MIT"),
+        (MIT.replace("\n", "\r\n"), "MIT"),
+        (APACHE, "Apache-2.0"),
+        (BSD_2, "BSD-2-Clause"),
+        (BSD_3, "BSD-3-Clause"),
+        (BSD_3.replace("the copyright holder", "Some Inc."), "BSD-3-Clause"),
+        (GPL_3, "GPL-3.0"),
+        (GPL_3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"), "GPL-2.0"),
+        (MPL, "MPL-2.0"),
+        ("Some text. All rights\nreserved.", "Proprietary"),
+    ],
+)
+def test_real_notices_as_they_are_wrapped(spark, text, licence):
+    from llm_rows import documents
+
+    for whole in (text, f"Some prose.\n\n{text}\nMore prose."):
+        assert [r["licenses"] for r in licenses.scan_licenses(documents(spark, [(1, whole, None, None)])).collect()] == [[licence]]
