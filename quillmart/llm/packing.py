@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -188,13 +189,41 @@ class BestFit:
         return b, self.room - f
 
 
+#: Bits of a sequence's name for the row that opens it in its file, and for how many that row opened before.
+_ROW_BITS, _NTH_BITS = 26, 18
+
+
+class InOrder:
+    """Best fit in arrival order, by bins that are named after file, row of the file, and turn within that row.
+
+    Names rise with the order of opening, whichever task packs a file. A run of rows without a gap has its own bins.
+    """
+
+    def __init__(self, room: int, most_open: int):
+        self.room, self.most_open, self.at = room, most_open, (-1, -1)
+
+    def put(self, file: int, row: int, length: int) -> tuple[int, int]:
+        if (file, row) != self.at:
+            if (file, row - 1) != self.at:
+                self.bins, self.names = BestFit(self.room, self.most_open), []
+            self.at, self.nth = (file, row), 0
+        b, place = self.bins.put(length)
+        if b == len(self.names):
+            if row >> _ROW_BITS or self.nth >> _NTH_BITS:
+                raise ValueError("too many rows in a file, or sequences of a row, to name them in order")
+            self.names.append((file << _ROW_BITS | row) << _NTH_BITS | self.nth)
+            self.nth += 1
+        return self.names[b], place
+
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def _pack(path: str, room: int, end_id: int, most_open: int, with_ids: bool):
+def _pack(path: str, room: int, end_id: int, most_open: int, with_ids: bool, files: dict[str, int] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizers.get((path, end_id)) or _tokenizers.setdefault((path, end_id), Encoder(path, end_id))
         bins, base = BestFit(room, most_open), TaskContext.get().partitionId() << 32
+        ordered = InOrder(room, most_open)
         for whole in batches:
             rows: list[tuple] = []
             for batch in portions(whole):
@@ -205,11 +234,20 @@ def _pack(path: str, room: int, end_id: int, most_open: int, with_ids: bool):
                         piece = raw[4 * (begin + start) : 4 * (begin + start + length)]
                         rows.append((doc, i, start, length, zlib.crc32(piece), bytes(piece) if with_ids else b""))
                     begin = end
-            rows.sort(key=lambda r: -r[3])
-            places = [bins.put(r[3]) for r in rows]
+            if files is None:
+                rows.sort(key=lambda r: -r[3])
+                places = [(base + b, x) for b, x in (bins.put(r[3]) for r in rows)]
+            else:
+                came = zip(whole["_file"].to_pylist(), whole["_row"].to_pylist(), strict=True)
+                # the first piece of a row is numbered 0
+                places = []
+                for r in rows:
+                    if r[1] == 0:
+                        name, row = next(came)
+                    places.append(ordered.put(files[name], row, r[3]))
             columns = [*zip(*rows, strict=True)] or [()] * 6
             arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=False)]
-            arrays += [pa.array([base + b for b, _ in places], pa.int64()), pa.array([x for _, x in places], pa.int64())]
+            arrays += [pa.array([b for b, _ in places], pa.int64()), pa.array([x for _, x in places], pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             if with_ids:
                 arrays.append(pa.array([struct.unpack(f"<{len(x) // 4}i", x) for x in columns[5]], pa.list_(pa.int32())))
@@ -219,7 +257,7 @@ def _pack(path: str, room: int, end_id: int, most_open: int, with_ids: bool):
     return run
 
 
-def pack_documents(documents: DataFrame, tokenizer: str | None = None, room: int = 1024, end_id: int = 2, most_open: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer: str | None = None, room: int = 1024, end_id: int = 2, most_open: int = 1024, with_ids: bool = False, in_order: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece (and its ids, if asked for).
 
     Every input partition is packed as it streams by, an Arrow batch at a time, with a fixed number of open bins and
@@ -227,10 +265,20 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, room: int
     most, and a lost task is simply run again. Documents longer than ``room`` are cut, the first piece taking what is
     over, so all their other pieces fill a sequence.
 
+    With ``in_order``, for a table just read from files whose rows are in a wanted order, pieces are placed as they
+    come, none before the pieces of earlier rows, and each file has its own sequences: in the order of sequence_id they
+    were opened in the order of files and rows. A piece may still go to any open sequence, so the order of the rows
+    holds up to ``most_open`` sequences. Files are put in order by name, as Spark's writer numbers them.
+
     ``tokenizer`` is the file of a byte-level vocabulary that executors can read; the public 50k one if left out.
     Null and empty texts are the end id alone. Rows with equal or null ids are packed each by itself. An empty table
     gives no rows; columns other than doc_id and text are ignored.
     """
     schema = _PIECES + (", ids array<int>" if with_ids else "")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(_pack(tokenizer or default_tokenizer(), room, end_id, most_open, with_ids), schema)
+    texts, files = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")], None
+    if in_order:
+        read = documents.metadataColumn("_metadata")
+        texts += [read["file_name"].alias("_file"), read["row_index"].alias("_row")]
+        names = sorted({unquote(x.rsplit("/", 1)[-1]) for x in documents.inputFiles()}, key=lambda x: (len(x), x))
+        files = {x: i for i, x in enumerate(names)}
+    return documents.select(*texts).mapInArrow(_pack(tokenizer or default_tokenizer(), room, end_id, most_open, with_ids, files), schema)

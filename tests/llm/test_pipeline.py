@@ -40,3 +40,24 @@ def test_pipeline_takes_awkward_and_empty_tables(spark, tmp_path):
         out = corpus_pipeline.run(spark, str(folder))
         assert out.columns[:3] == ["doc_id", "piece", "start"]
         assert bool(out.count()) == bool(rows)
+
+
+def test_packing_keeps_the_order_of_the_mix(spark, tmp_path):
+    rows = [(i, "word " * (900 if i % 2 else 400), "en", "long" if i % 2 else "short") for i in range(600)]
+    mixed = str(tmp_path / "mixed")
+    corpus_pipeline.mixing(spark, documents(spark, rows), "").write.option("maxRecordsPerFile", 100).parquet(mixed)
+    files = sorted({r[0] for r in spark.read.parquet(mixed).select("_metadata.file_name").collect()})
+    came = [(r["doc_id"], r["source"]) for f in files for r in spark.read.parquet(f"{mixed}/{f}").collect()]
+    assert len(files) > 1 and len(came) == 600
+    packed = corpus_pipeline.packing(spark, spark.read.parquet(mixed), "").collect()
+    assert sorted(r["doc_id"] for r in packed if r["piece"] == 0) == list(range(600))
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)
+    opened = [r["doc_id"] for r in sorted(packed, key=lambda r: r["sequence_id"]) if r["offset"] == 0]
+    place = {doc: i for i, (doc, _) in enumerate(came)}
+    assert [place[x] for x in opened] == sorted(place[x] for x in opened)
+    # over a prefix of the sequences both sources have their share, long and short documents alike
+    ids = sorted({r["sequence_id"] for r in packed})
+    for part in (4, 2):
+        first = set(ids[: len(ids) // part])
+        inside = [r["doc_id"] % 2 for r in packed if r["sequence_id"] in first and r["piece"] == 0]
+        assert abs(sum(inside) / len(inside) - 0.5) < 0.1
