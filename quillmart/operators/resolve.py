@@ -19,6 +19,16 @@ def neighbours(df: DataFrame, block: list[str], order: list[str], key: str, colu
     return met.where("l IS NOT NULL").select(*both)
 
 
+def block_pairs(df: DataFrame, block: list[str], key: str, columns: list[str]) -> DataFrame:
+    """Every pair of rows of a block, the smaller key on the left; columns come twice, as left_* and right_*.
+
+    All pairs are the result, so rows grow with the square of a block; choose a selective block.
+    """
+    left = df.select(*block, *[F.col(c).alias(f"left_{c}") for c in [key, *columns]])
+    right = df.select(*block, *[F.col(c).alias(f"right_{c}") for c in [key, *columns]])
+    return left.join(right, block).where(F.col(f"left_{key}") < F.col(f"right_{key}")).drop(*block)
+
+
 def compatible(a: Column, b: Column, wildcards: list[str], soft: list[tuple[str, str]]) -> Column:
     """Equal kinds, a kind that fits all, or one of the listed pairs in either order; anything else is not."""
     pair = F.concat_ws("|", F.least(a, b), F.greatest(a, b))

@@ -58,3 +58,14 @@ def test_name_similarity_of_all_blocks(spark, sf_dir):
             want.add((min(x), min(y), len(x), len(y), round(score, 9)))
     got = plans.QUERIES["name_similarity_difflib"](spark, sf_dir).collect()
     assert len(got) == len(want) and {(*r[:4], round(r.similarity, 9)) for r in got} == want
+
+
+def test_block_pairs_judge_rows_that_stand_apart(spark):
+    """A row with the same name five places earlier is met; neighbours alone miss it."""
+    from quillmart.operators.resolve import block_pairs, neighbours
+
+    rows = spark.createDataFrame([(i, 1, "twin" if i in (0, 5) else f"n{i}") for i in range(6)] + [(9, 2, "twin")], "id int, b int, name string")
+    same = lambda df: [(r["left_id"], r["right_id"]) for r in df.where("left_name = right_name").collect()]
+    assert same(block_pairs(rows, ["b"], "id", ["name"])) == [(0, 5)]
+    assert block_pairs(rows, ["b"], "id", ["name"]).count() == 15
+    assert same(neighbours(rows, ["b"], ["id"], "id", ["name"])) == []
