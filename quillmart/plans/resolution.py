@@ -316,6 +316,20 @@ def metric_value(spark, d):
     return rows.select("doc_id", (F.col("n").try_cast("double") * factor).alias("value"))
 
 
+@query(r"""
+WITH t AS (SELECT doc_id, replace(trim(coalesce(text, '')), ',', '') AS s FROM documents),
+m AS (SELECT doc_id, s, regexp_extract(s, '[-+]?[0-9]+(\.[0-9]+)?') AS n FROM t),
+u AS (SELECT doc_id, n, lower(substr(s, instr(s, n) + length(n))) AS tail FROM m)
+SELECT doc_id, coalesce(TRY_CAST(n AS DOUBLE) * CASE WHEN tail LIKE '%thousand%' THEN 1000 WHEN tail LIKE '%million%' THEN 1000000 WHEN tail LIKE '%\%%' ESCAPE '\' THEN 0.01 ELSE 1 END, 0.0) AS value FROM u""")
+def metric_value_whole(spark, d):
+    """Of every text the first signed decimal, commas left out, times the first magnitude anywhere after it; 0 without a number."""
+    rows = table(spark, d, "documents").select("doc_id", F.replace(F.trim(F.coalesce("text", F.lit(""))), F.lit(","), F.lit("")).alias("s"))
+    rows = rows.select("doc_id", "s", F.regexp_extract("s", r"[-+]?[0-9]+(\.[0-9]+)?", 0).alias("n"))
+    rows = rows.select("doc_id", "n", F.lower(F.expr("substring(s, instr(s, n) + char_length(n))")).alias("tail"))
+    factor = F.when(F.contains("tail", F.lit("thousand")), 1000.0).when(F.contains("tail", F.lit("million")), 1000000.0).when(F.contains("tail", F.lit("%")), 0.01).otherwise(1.0)
+    return rows.select("doc_id", F.coalesce(F.col("n").try_cast("double") * factor, F.lit(0.0)).alias("value"))
+
+
 @query("""
 SELECT count(*) FILTER (WHERE p_name LIKE 'small %' OR p_size < 5 OR p_brand IS NULL OR p_type = 'PROMO') AS triggered,
   count(*) FILTER (WHERE p_name LIKE 'small %') AS by_name, count(*) FILTER (WHERE p_size < 5) AS by_basis, count(*) FILTER (WHERE p_type = 'PROMO') AS by_partner, count(*) AS rows FROM part""")

@@ -69,3 +69,12 @@ def test_block_pairs_judge_rows_that_stand_apart(spark):
     assert same(block_pairs(rows, ["b"], "id", ["name"])) == [(0, 5)]
     assert block_pairs(rows, ["b"], "id", ["name"]).count() == 15
     assert same(neighbours(rows, ["b"], ["id"], "id", ["name"])) == []
+
+
+def test_metric_values_of_awkward_texts(spark, tmp_path):
+    from quillmart.plans.resolution import metric_value_whole
+
+    texts = ["3.5 million sold", "1,200,000 units", "none", None, "", "12345678901 items", "+7 and then, " + "x" * 60 + " thousand", "-4.25%", "5."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["value"] for r in metric_value_whole(spark, str(tmp_path)).collect()}
+    assert got == {0: 3500000.0, 1: 1200000.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 12345678901.0, 6: 7000.0, 7: -0.0425, 8: 5.0}
