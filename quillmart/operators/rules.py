@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +46,33 @@ def dictionary_hits(docs: DataFrame, key: str, text: str, words: list[str]) -> D
     return docs.select(key, F.posexplode(F.regexp_extract_all(plain, pattern, 1)).alias("place", "word")).select(key, F.lower("word").alias("word"), "place")
 
 
+def dictionary_mentions(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
+    """(key, word, start) of every place where a dictionary word stands as a whole word, those inside others included.
+
+    ``start`` counts characters from 0. Only A-Z are folded, so that places are those of the text itself.
+    """
+    fold = {c: c + 32 for c in range(65, 91)}
+    known = {w: re.compile(rf"(?<!\w)(?={re.escape(w)}(?!\w))") for w in sorted({w.translate(fold) for w in words})}
+
+    def of_text(t: str | None) -> list[dict]:
+        low = (t or "").translate(fold)
+        return [{"word": w, "start": m.start()} for w, p in known.items() if w in low for m in p.finditer(low)]
+
+    @F.pandas_udf("array<struct<word:string,start:int>>")
+    def mentions(texts: pd.Series) -> pd.Series:
+        return texts.map(of_text)
+
+    return docs.select(key, F.explode(mentions(text)).alias("m")).select(key, "m.word", "m.start")
+
+
+def best_mentions(mentions: DataFrame, key: str, owners: dict[str, str]) -> DataFrame:
+    """The best mention of every owner of words: the longest word, then the earliest place."""
+    owner = F.create_map(*[F.lit(x) for pair in owners.items() for x in pair])
+    best = F.min_by(F.struct("word", "start"), F.struct((-F.char_length("word")).alias("l"), "start", "word"))
+    found = mentions.withColumn("entity", F.try_element_at(owner, F.col("word"))).where("entity IS NOT NULL")
+    return found.groupBy(key, "entity").agg(best.alias("b")).select(key, "entity", "b.word", "b.start")
+
+
 def unique_owner(df: DataFrame, token: str, owner: str) -> DataFrame:
     """Tokens that belong to exactly one owner."""
     return df.groupBy(token).agg(F.count_distinct(owner).alias("_n"), F.min(owner).alias(owner)).where("_n = 1").drop("_n")

@@ -127,6 +127,20 @@ def dictionary_match_longest(spark, d):
     return hits.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Owner of each dictionary word.
+OWNERS = {"apache": "apache", "apache license": "apache", "mit": "mit", "mit license": "mit", "gnu": "gnu", "creative commons": "cc", "cc": "cc"}
+
+
+@query()
+def dictionary_mentions(spark, d):
+    return R.dictionary_mentions(docs(spark, d), "doc_id", "text", ENTITIES)
+
+
+@query()
+def best_entity_mention(spark, d):
+    return R.best_mentions(dictionary_mentions(spark, d), "doc_id", OWNERS)
+
+
 @query(f"SELECT doc_id, count(DISTINCT word) AS entities FROM (SELECT doc_id, unnest({HITS}) AS word FROM documents) WHERE length(word) >= 3 GROUP BY doc_id HAVING count(DISTINCT word) >= 2")
 def multi_entity_gate(spark, d):
     hits = R.dictionary_hits(docs(spark, d), "doc_id", "text", ENTITIES).where(F.char_length("word") >= 3)

@@ -34,3 +34,15 @@ def test_mentioning_reads_both_sides(spark):
 def test_preferred_columns_come_first(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     assert preferred_first(df, ["c", "missing"]).columns == ["c", "a", "b"]
+
+
+def test_every_dictionary_mention_has_its_place(spark):
+    """Words inside others are mentions too, places count characters, and the longest word of an owner is its best."""
+    from quillmart.operators.rules import best_mentions, dictionary_mentions
+
+    texts = ["É Apache License, apache", "smith mitx", None, "MIT license mit a b a b a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = dictionary_mentions(docs, "doc_id", "text", ["apache", "apache license", "mit", "mit license", "a b a"])
+    assert sorted(map(tuple, found.collect())) == [(0, "apache", 2), (0, "apache", 18), (0, "apache license", 2), (3, "a b a", 16), (3, "a b a", 20), (3, "mit", 0), (3, "mit", 12), (3, "mit license", 0)]
+    best = best_mentions(found, "doc_id", {"apache": "apache", "apache license": "apache", "mit": "mit", "mit license": "mit"})
+    assert sorted(map(tuple, best.collect())) == [(0, "apache", "apache license", 2), (3, "mit", "mit license", 0)]
