@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from conftest import same_as_sql
 
@@ -16,14 +17,17 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 
 def brute_top(rows, every, k):
-    usable = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    out, seen = [], set()
-    for q, v in usable:
-        if q % every or (q, tuple(v)) in seen:
+    """query_id, query_no, rank, vec_id, score; a query's own row is left out, other rows of its id are not."""
+    usable = [(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out, seen = [], {}
+    for q, v in sorted(set(usable)):
+        if q % every:
             continue
-        seen.add((q, tuple(v)))
-        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable if i != q and len(w) == len(v))
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+        seen[q] = no = seen.get(q, 0) + 1
+        others = list(usable)
+        others.remove((q, v))
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in others if len(w) == len(v))
+        out += [(q, no, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -31,37 +35,77 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, v string, score string, width string")
 
 
-def test_topk_equals_brute_force_with_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+@pytest.mark.parametrize("pilot", [1, 40, 4096])
+def test_topk_equals_brute_force_with_odd_vectors(spark, monkeypatch, pilot):
+    for name, value in (("CANDIDATE_BLOCK", 16), ("QUERY_BLOCK", 3), ("TILE_QUERIES", 2), ("TILE_CANDIDATES", 7), ("GATHERED", 5), ("PILOT_ROWS", pilot)):
+        monkeypatch.setattr(topk, name, value)
     import random
 
     rnd = random.Random(4)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(24)]) for i in range(90)]
     rows += [(i, [0.5] * 24) for i in range(90, 120)]  # ties
     rows += [(200, None), (201, [None] + [0.1] * 23), (202, [float("nan")] * 24), (203, [float("inf")] + [0.0] * 23), (None, [0.2] * 24), (30, rows[30][1]), (50, [0.25] * 24)]
+    rows += [(60, [1.0, 0.5]), (61, [0.5, 0.5]), (70, []), (71, [])]  # other lengths
+    rows += [(80, [0.7] * 24)] * 20  # one row many times
     df = vectors(spark, [(i, v, None, "x", "x", "x") for i, v in rows])
     got = sorted(map(tuple, topk.search_queries(df, every=10, k=5).collect()))
     floats = [(r["vec_id"], r["embedding"]) for r in df.select("vec_id", "embedding").collect()]
-    # an id that repeats with another vector is a query twice: each vector ranks its own candidates in one list
-    once = [x for x in got if x[0] != 50]
-    assert once == [x for x in brute_top(floats, 10, 5) if x[0] != 50]
-    assert len([x for x in got if x[0] == 50]) == 5
+    assert got == brute_top(floats, 10, 5)
 
 
 def test_topk_fewer_than_k_and_empty(spark):
     few = vectors(spark, [(0, [1.0, 0.0], 0, "", "", ""), (1, [0.5, 0.5], 0, "", "", "")])
-    assert [tuple(r) for r in topk.search_queries(few).collect()] == [(0, 1, 1, 512 * 1024)]
+    assert [tuple(r) for r in topk.search_queries(few).collect()] == [(0, 1, 1, 1, 512 * 1024)]
     assert topk.search_queries(vectors(spark, [])).collect() == []
 
 
 def test_bounds_never_lie_below_the_product():
-    import numpy as np
-
     rng = np.random.default_rng(5)
-    a, b = rng.normal(size=(40, 30)), rng.normal(size=(50, 30))
-    for s in topk.RESOLUTIONS:
-        assert (topk._summary(a, s) @ topk._summary(b, s).T + 1e-9 >= a @ b.T).all()
+    a, b = rng.normal(size=(40, 70)) * np.geomspace(1, 9, 70), rng.normal(size=(50, 70))
+    for basis in (topk.basis_of(a, 70), topk.basis_of(a[:0], 70)):
+        assert len(basis.cuts) == len(topk.RESOLUTIONS)
+        turned = [x if basis.rotation is None else x @ basis.rotation for x in (a, b)]
+        for cuts in basis.cuts:
+            assert (topk.summary(turned[0], cuts) @ topk.summary(turned[1], cuts).T + 1e-9 >= a @ b.T).all()
+
+
+def clustered(rows, width=64):
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(100, width))
+    v = middle[rng.integers(0, 100, rows)] + 0.15 * rng.normal(size=(rows, width))
+    return np.floor(1024 * v / np.linalg.norm(v, axis=1)[:, None])
+
+
+def test_bounds_discard_nearly_all_of_clustered_vectors():
+    v = clustered(20_000)
+    ids, once = np.arange(len(v)), np.ones(len(v), np.int64)
+    basis = topk.basis_of(v[:4096], 64)
+    pilot = topk.Search(ids[::100], v[::100], np.full(200, -np.inf), 10, basis)
+    pilot.see(ids[:4096], v[:4096], once[:4096])
+    search = topk.Search(ids[::100], v[::100], pilot.floors, 10, basis)
+    search.see(ids, v, once)
+    assert search.alive[-1] < 0.02 * search.pairs
+    scores = v[::100] @ v.T
+    scores[np.arange(200), ids[::100]] = -1
+    assert all((s == -np.sort(-row)[:10]).all() for (s, _), row in zip(search.best, scores, strict=True))
+
+
+def test_a_full_block_stays_small():
+    import subprocess
+    import sys
+
+    code = """
+import numpy as np, resource
+from quillmart.llm import topk
+v = np.floor(1024 * np.random.default_rng(1).normal(size=(topk.CANDIDATE_BLOCK, 64)))
+ids = np.arange(len(v))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+search = topk.Search(ids[: topk.QUERY_BLOCK], v[: topk.QUERY_BLOCK], np.full(topk.QUERY_BLOCK, -np.inf), 10, topk.basis_of(v[:512], 64))
+search.see(ids, v, np.ones(len(v), np.int64))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
+    assert int(said.stdout) < 300
 
 
 def test_license_rules_in_order_and_their_edges(spark, edge, no_documents):
