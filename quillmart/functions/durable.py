@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use ``spark.checkpoint.dir`` of the session; only a local master without it gets a temporary folder.
 
-    On a cluster an unset folder is an error, because executors do not share the driver's disk.
+    On a cluster an unset folder is an error, because executors do not share the driver's disk. Unless the session says
+    otherwise, Spark deletes a checkpoint when nothing refers to it any more.
     """
     sc = spark.sparkContext
+    sc._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
