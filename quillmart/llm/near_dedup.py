@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import durable, rows_of
+from quillmart.llm.common import durable, free_names
 from quillmart.operators.components import connected_components
+from quillmart.operators.hot import hot_keys, join_unique
 
 SHINGLE_WORDS = 5
 #: Signature length, and matching coordinates that a pair needs to be compared in full. A pair at similarity 0.75
@@ -20,6 +21,10 @@ SHINGLE_WORDS = 5
 COORDINATES, MATCHES = 32, 12
 #: Rounds in which every posting list is compared with one pivot before what is left is compared pairwise.
 PIVOT_ROUNDS = 2
+#: Members of a hot posting list that meet as many others in one cell of its grid.
+CELL_ROWS = 1024
+#: A text with a word; others have no shingle.
+HAS_WORD = r"[^\x20\x09-\x0D]"
 #: 64-bit words of the parity table that bounds the difference of two sets.
 PARITY_WORDS = 32
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -85,22 +90,27 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
         yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
+def _set_key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _small(batches):
         sets = [shingles(t) for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([signature(s) for s in sets], pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "sig"],
+            [batch["doc_id"], batch["h1"], batch["h2"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([signature(s) for s in sets], pa.binary())],
+            names=["doc_id", "h1", "h2", "n_shingles", "set_key", "sig"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _small(batches):
         sets = [shingles(t) for t in batch["text"].to_pylist()]
+        right = pa.array([_set_key(s) == k for s, k in zip(sets, batch["set_key"].to_pylist(), strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays(
             [batch["cls"], pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))],
             names=["cls", "shingle_set", "bits"],
-        )
+        ).filter(right)
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,98 +164,166 @@ def _postings(classes: DataFrame) -> DataFrame:
     return durable(prefix.select("token", "cls"))
 
 
+def _may_link(a: str, b: str) -> Column:
+    """Whether classes can reach the similarity, by their sizes n and shared shingles s: at most min(s, s') are common."""
+    col = lambda side, c: F.col(side.format(c))
+    size, common = col(a, "n") + col(b, "n"), F.least(col(a, "s"), col(b, "s"))
+    return 100 * common >= 75 * (size - common)
+
+
+def _bits_allow(a: str, b: str, n: Column) -> Column:
+    """Whether parity tables allow a link, which needs a symmetric difference of at most a seventh of the sizes' sum.
+
+    The tables differ in no more bits than the sets in shingles.
+    """
+    apart = sum((F.bit_count(F.get(F.col(a), i).bitwiseXOR(F.get(F.col(b), i))) for i in range(PARITY_WORDS)), F.lit(0))
+    return 7 * apart <= n
+
+
+def _confirm(pairs: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, n: sum of sizes) that are links: by parity table, signature and then full sets."""
+    side = lambda c: facts.select(F.col("cls").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("sig").alias(f"sig_{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(_bits_allow("bits_a", "bits_b", F.col("n")))
+    near = durable(met.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long"))
+    with_a = near.join(sets.select(F.col("cls").alias("a"), F.col("shingle_set").alias("set_a")), "a")
+    both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("shingle_set").alias("set_b")), "b")
+    return durable(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long"))
+
+
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (cls, label, n, sig) after joining the labels that the links (a, b of classes) connect."""
+    """Labels (cls, label, n, s) after joining the labels that the links (a, b of classes) connect."""
     a = labels.select(F.col("cls").alias("a"), F.col("label").alias("la"))
     b = labels.select(F.col("cls").alias("b"), F.col("label").alias("lb"))
     joined = connected_components(links.join(a, "a").join(b, "b"), "la", "lb")
     moved = joined.select(F.col("node").alias("label"), F.col("component").alias("to"))
-    return durable(labels.join(moved, "label", "left").select("cls", F.coalesce("to", "label").alias("label"), "n", "s", "bits", "sig"))
+    kept = join_unique(labels, moved, "label", hot_keys(labels, "label"), "left")
+    return durable(kept.select("cls", F.coalesce("to", "label").alias("label"), "n", "s"))
 
 
-def _may_link(a: str, b: str) -> Column:
-    """Whether classes can reach the similarity, by their sizes n, shared shingles s and parity tables.
+def _pair(a: str, b: str, n: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), n.alias("n")]
 
-    At most min(s, s') shingles are common. A link needs a symmetric difference of at most a seventh of n + n', and
-    the parity tables differ in no more bits than the sets in shingles.
-    """
-    col = lambda side, c: F.col(side.format(c))
-    size = col(a, "n") + col(b, "n")
-    common = F.least(col(a, "s"), col(b, "s"))
-    apart = sum((F.bit_count(F.get(col(a, "bits"), i).bitwiseXOR(F.get(col(b, "bits"), i))) for i in range(PARITY_WORDS)), F.lit(0))
-    return (100 * common >= 75 * (size - common)) & (7 * apart <= size)
-
-
-def _ordered(met: DataFrame, a: str, sig_a: str, b: str, sig_b: str) -> DataFrame:
-    """Candidate pairs with the smaller class first."""
-    first = F.col(a) < F.col(b)
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return met.select(pick(a, b).alias("a"), pick(b, a).alias("b"), pick(sig_a, sig_b).alias("sig_a"), pick(sig_b, sig_a).alias("sig_b"))
 
+def _grid(rows: DataFrame, hot: DataFrame | None, own: str, other: str, cls: str) -> DataFrame:
+    """Rows of posting lists dealt over the cells of a square grid: one row or column of cells for each member."""
+    if hot is None:
+        return rows.withColumn(own, F.lit(0)).withColumn(other, F.lit(0))
+    side = F.ceil(F.coalesce(F.col("rows_of_key"), F.lit(1)) / CELL_ROWS).cast("int")
+    dealt = rows.join(F.broadcast(hot), "token", "left").withColumn("_side", side)
+    return dealt.withColumn(own, F.pmod(F.xxhash64(F.lit(41), cls), F.col("_side")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_side") - 1))).drop("_side", "rows_of_key")
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b, sig_a, sig_b) that are links."""
-    near = durable(pairs.mapInArrow(_alike, "a long, b long").distinct())
-    with_a = near.join(sets.select(F.col("cls").alias("a"), F.col("shingle_set").alias("set_a")), "a")
-    both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("shingle_set").alias("set_b")), "b")
-    return durable(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long"))
 
+def _same_id_links(linkable: DataFrame, classes: DataFrame, hot_sets: DataFrame | None) -> DataFrame | None:
+    """(a, b) between the classes of an id that stands for several texts, each to the id's least set; None if none is."""
+    spread = linkable.groupBy("doc_id").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last")).where("first <> last")
+    spread = durable(spread.select("doc_id", "first"))
+    if spread.isEmpty():
+        return None
+    several = join_unique(linkable.select("doc_id", "set_key"), spread, "doc_id", hot_keys(linkable, "doc_id"))
+    keys = durable(several.where("set_key <> first").select("set_key", "first").distinct())
+    named = classes.select("set_key", "cls")
+    one = join_unique(keys, named.withColumnRenamed("cls", "a"), "set_key", hot_sets).select("a", F.col("first").alias("set_key"))
+    return join_unique(one, named.withColumnRenamed("cls", "b"), "set_key", hot_keys(one, "set_key")).select("a", "b")
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
 
-    Documents with equal shingle sets are one class, so copies cost one row each. Every class posts the prefix of its
-    signature; classes that meet in a posting list are compared by their signatures and, from MATCHES on, by their
-    full sets. Shingles that no other posted class holds bound the intersection beforehand, which takes out classes
-    and pairs that cannot link. A large list is not turned into all its pairs: in each of PIVOT_ROUNDS rounds its members are compared
-    with one pivot, links join components, and only members outside the pivot's component are looked at again. At last
-    the members outside the largest component of their list are compared with all members of other components, so
-    no link that could join two components is lost.
+def _judged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h1, h2, n_shingles, best) with a set and an id, and the others (doc_id, h1, h2, n_shingles).
 
-    Empty and null texts have no shingles, are linked with nothing and are kept. Rows with a null doc_id are their
-    own component (null) and are kept. Rows that repeat a doc_id are alike in component. An empty table gives no
-    rows; columns other than doc_id and text are ignored.
+    ``best`` is the least (doc_id, h1, h2) of the row's component, where h1 and h2 are hashes of the text.
     """
-    signed = durable(documents.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n_shingles long, set_key binary, sig binary"))
+    rows = documents.select("doc_id", *_text_hashes(F.col("text")), "text")
+    signed = durable(rows.mapInArrow(_signed, "doc_id long, h1 long, h2 long, n_shingles long, set_key binary, sig binary"))
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("cls"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
-    # a doc_id that several rows share may stand for several classes; they count as one
-    classes = durable(classes.groupBy("cls").agg(F.min(F.struct("n", "sig", "set_key")).alias("c"), F.count(F.lit(1)).alias("rows")).select("cls", "c.n", "c.sig"))
+    hot_sets = hot_keys(linkable, "set_key")
+    # a class is a set of shingles, numbered by its place in the checkpoint, which does not change any more
+    classes = linkable.groupBy("set_key").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("best"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
+    classes = durable(classes).withColumn("cls", F.monotonically_increasing_id())
     postings = _postings(classes)
     members = postings.select("cls").distinct()
-    texts = documents.select(F.col("doc_id").alias("cls"), "text")
-    sets = durable(texts.join(members, "cls", "left_semi").mapInArrow(_sets, "cls long, shingle_set binary, bits array<long>"))
+    hot_tokens = hot_keys(postings, "token")
+
+    # one whole text for each class: rows are told apart by id and hashes of the text, repeated rows are one
+    firsts = rows.where("doc_id is not null").groupBy("doc_id", "h1", "h2").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    wanted = classes.join(members, "cls", "left_semi").select("cls", "set_key", "best.*")
+    texts = firsts.join(wanted, ["doc_id", "h1", "h2"]).select("cls", "set_key", "text")
+    sets = durable(texts.mapInArrow(_sets, "cls long, shingle_set binary, bits array<long>"))
 
     # shingles that no other posted class has cannot be in an intersection: s bounds it for every partner
     shared = sets.mapInArrow(_exploded, "cls long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("owners"), F.min("cls").alias("cls"))
     lone = shared.where("owners = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("lone"))
-    posted = classes.join(members, "cls", "left_semi").join(lone, "cls", "left").withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0)))
-    labels = durable(posted.where("100 * s >= 75 * n").join(sets.select("cls", "bits").dropDuplicates(["cls"]), "cls").select("cls", F.col("cls").alias("label"), "n", "s", "bits", "sig"))
+    posted = classes.select("cls", "n", "sig").join(sets.select("cls", "bits"), "cls").join(lone, "cls", "left").withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0)))
+    facts = durable(posted.where("100 * s >= 75 * n").select("cls", "n", "s", "bits", "sig"))
+    labels = facts.select("cls", F.col("cls").alias("label"), "n", "s")
     for turn in range(PIVOT_ROUNDS):
         at = postings.join(labels, "cls")
-        order = F.struct(F.xxhash64(F.lit(turn), "token", "cls").alias("h"), "cls", "label", "n", "s", "bits", "sig")
+        order = F.struct(F.xxhash64(F.lit(turn), "token", "cls").alias("h"), "cls", "label", "n", "s")
         pivots = at.groupBy("token").agg(F.min(order).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "p")
-        met = at.join(pivots, "token").where((F.col("label") != F.col("p.label")) & _may_link("{}", "p.{}"))
-        labels = _relabelled(labels, _confirm(_ordered(met, "cls", "sig", "p.cls", "p.sig"), sets))
+        met = join_unique(at, pivots, "token", hot_tokens).where((F.col("label") != F.col("p.label")) & _may_link("{}", "p.{}"))
+        pairs = met.select(*_pair("cls", "p.cls", F.col("n") + F.col("p.n"))).distinct()
+        labels = _relabelled(labels, _confirm(pairs, facts, sets))
 
-    at = postings.join(labels, "cls")
+    # members outside the largest component of their list meet all of other components
+    at = durable(postings.join(labels, "cls"))
     parts = at.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("m.label").alias("most"))
-    names = ("token", "cls", "label", "n", "s", "bits", "sig")
-    left = at.join(largest, "token").where("label <> most").select(*[F.col(c).alias(f"{c}_a") for c in names], "most")
-    right = at.select(*[F.col(c).alias(f"{c}_b") for c in names])
+    side = lambda rows, x: rows.join(facts.select("cls", "bits"), "cls").select(*[F.col(c).alias(f"{c}_{x}") for c in ("cls", "label", "n", "s", "bits")], "token", "most")
+    among = durable(side(join_unique(at, largest, "token", hot_tokens), "a"))
+    left = _grid(among.where("label_a <> most"), hot_tokens, "row", "column", "cls_a")
+    right = _grid(among.select("token", *[F.col(f"{c}_a").alias(f"{c}_b") for c in ("cls", "label", "n", "s", "bits")]), hot_tokens, "column", "row", "cls_b")
     # between two members outside the largest component each pair is looked at once
     once = (F.col("label_b") == F.col("most")) | (F.col("cls_a") < F.col("cls_b"))
-    met = left.join(right, (F.col("token_a") == F.col("token_b")) & (F.col("label_a") != F.col("label_b")) & once & _may_link("{}_a", "{}_b"))
-    labels = _relabelled(labels, _confirm(_ordered(met, "cls_a", "sig_a", "cls_b", "sig_b"), sets))
+    sizes = F.col("n_a") + F.col("n_b")
+    met = left.join(right, ["token", "row", "column"]).where((F.col("label_a") != F.col("label_b")) & once & _may_link("{}_a", "{}_b") & _bits_allow("bits_a", "bits_b", sizes))
+    links = _confirm(met.select(*_pair("cls_a", "cls_b", sizes)).distinct(), facts, sets)
+
+    same = _same_id_links(linkable, classes, hot_sets)
+    whole = classes.select("cls", F.col("cls").alias("label"), "n", F.lit(0).cast("long").alias("s")).join(labels.select("cls", F.col("label").alias("known")), "cls", "left")
+    labels = _relabelled(durable(whole.select("cls", F.coalesce("known", "label").alias("label"), "n", "s")), links if same is None else links.unionByName(same))
+    named = classes.join(labels.select("cls", "label"), "cls")
+    best = named.groupBy("label").agg(F.min("best").alias("best"))
+    found = durable(join_unique(named.select("set_key", "label"), best, "label", hot_keys(labels, "label")).select("set_key", "best"))
+    out = join_unique(linkable.select("doc_id", "h1", "h2", "n_shingles", "set_key"), found, "set_key", hot_sets).drop("set_key")
+    return out, signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "h1", "h2", "n_shingles")
 
-    by_key = linkable.groupBy("set_key").agg(F.min("doc_id").alias("cls"))
-    found = by_key.join(labels.select("cls", "label"), "cls", "left").select("set_key", F.coalesce("label", "cls").alias("component"))
-    out = signed.join(found, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+def _text_hashes(text: Column) -> list[Column]:
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(F.lit(3), whole).alias("h1"), F.crc32(whole).alias("h2")]
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents with equal shingle sets are one class, so copies cost one row each. Every class posts the prefix of its
+    signature; classes that meet in a posting list are compared by their signatures and, from MATCHES on, by their
+    full sets. Shingles that no other posted class holds bound the intersection beforehand, which takes out classes
+    and pairs that cannot link, as do tables of parities. A large list is not turned into all its pairs: in each of
+    PIVOT_ROUNDS rounds its members are compared with one pivot, links join components, and only members outside the
+    pivot's component are looked at again. At last the members outside the largest component of their list are compared
+    with all members of other components, so no link that could join two components is lost. A token that many classes
+    post is joined where its rows are, and in the last step its list is dealt over a grid of cells.
+
+    Empty and null texts have no shingles, are linked with nothing and are kept. Rows with a null doc_id are their
+    own component (null) and are kept. Rows that repeat a doc_id are one document: what one of them is linked with, the
+    others are. An empty table gives no rows; columns other than doc_id and text are ignored.
+    """
+    linked, others = _judged(documents)
+    out = linked.select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"))
+    out = out.unionByName(others.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def drop_near_copies(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns: one of each component, and all rows with a null id."""
-    return rows_of(documents, near_duplicates(documents).where("kept"))
+    """The documents that stay, with their own columns: one row of each component of near copies.
+
+    Where an id repeats, one row of it stays at most. Rows without an id and rows without a word are in no component
+    and all stay.
+    """
+    id_, h1, h2 = free_names(documents, "_near_id", "_near_h1", "_near_h2")
+    linked, _ = _judged(documents)
+    best = linked.select("best.*").distinct().select(F.col("doc_id").alias(id_), F.col("h1").alias(h1), F.col("h2").alias(h2))
+    linkable = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False))
+    a, b = _text_hashes(F.col("text"))
+    rows = documents.where(linkable).withColumns({id_: F.col("doc_id"), h1: a, h2: b})
+    once = rows.dropDuplicates([id_, h1, h2]).join(best, [id_, h1, h2], "left_semi").select(*documents.columns)
+    return once.unionByName(documents.where(~linkable))

@@ -121,8 +121,42 @@ def test_near_dedup_groups_chains_and_shared_passages(spark, seed):
     check_near(documents(spark, rows))
 
 
+def test_near_dedup_links_every_text_of_a_repeated_id(spark):
+    rnd = random.Random(8)
+    text = lambda: [f"w{rnd.randrange(4000)}" for _ in range(60)]
+    a, b, c = text(), text(), text()
+    near_b = [*b[:30], "changed", *b[31:]]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join(near_b)), (7, " ".join([*a, "more"])), (9, " ".join(c)), (8, " ".join(c)), (8, " ".join(near_b)), (12, "alone in the world of texts")]
+    rows += [(1, " ".join(a))] * 5 + [(1, " ".join(text())) for _ in range(200)] + [(20 + i, " ".join(near_b)) for i in range(90)]
+    rnd.shuffle(rows)
+    df = documents(spark, [(i, t, None, None) for i, t in rows])
+    check_near(df)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert got[5] == got[7] == got[8] == got[9] == 1 and got[12] == 12
+    kept = [r["doc_id"] for r in near_dedup.drop_near_copies(df).collect()]
+    assert sorted(kept) == [1, 12]
+
+
+def test_near_dedup_deals_large_lists(spark, monkeypatch):
+    """A passage that makes up most of many documents which are no near copies of each other, and one large group."""
+    from quillmart.operators import hot
+
+    monkeypatch.setattr(hot, "LEAST_ROWS", 8)
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", 16)
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(90000)}"
+    passage, base = [word() for _ in range(200)], [word() for _ in range(80)]
+    rows = [" ".join(passage + [word() for _ in range(38)]) for _ in range(60)]
+    rows += [" ".join(passage + rows[k].split()[200:220] + [word() for _ in range(12)]) for k in range(30)]
+    rows += [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(80)] + ["one and the same text of seven words"] * 100
+    rnd.shuffle(rows)
+    check_near(documents(spark, [(i, t, None, None) for i, t in enumerate(rows)]))
+
+
 def test_drop_near_copies_keeps_columns(edge):
     wide = with_clashes(edge)
     kept = near_dedup.drop_near_copies(wide)
     assert kept.columns == wide.columns
+    # 1, 2 and 2 are near copies; rows without a word (3, 4, 5, one without an id) and without an id all stay
     assert sorted(i for (i,) in kept.select("doc_id").collect() if i is not None) == [1, 3, 4, 5, 6, 7, 8, 9, 11]
+    assert kept.where("doc_id IS NULL").count() == 2
