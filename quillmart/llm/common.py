@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmart.functions.durable import durable
 
-__all__ = ["durable", "free_names", "held_out", "label_sample", "rank_in_groups", "read", "rows_of", "source_key"]
+__all__ = ["durable", "free_names", "held_out", "label_sample", "rank_in_groups", "read", "source_key"]
 
 #: Python's and the contract's white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -71,10 +71,3 @@ def free_names(rows: DataFrame, *wanted: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
-
-
-def rows_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents, with their own columns, whose doc_id (null counts as a value) is among ``ids`` (doc_id)."""
-    (own,) = free_names(documents, "_kept_id")
-    wanted = ids.select(F.col("doc_id").alias(own)).distinct()
-    return documents.join(wanted, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")

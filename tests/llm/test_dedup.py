@@ -19,8 +19,9 @@ def brute_exact(rows):
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((i, t or ""))
     out = []
     for norm, members in groups.items():
-        keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0]
-        out += [(i, keep, len(members), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for i, _ in members]
+        members.sort(key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))
+        keep = members[0][0]
+        out += [(i, keep, len(members), n == 0, hashlib.sha256(norm.encode()).hexdigest()) for n, (i, _) in enumerate(members)]
     return sorted(out, key=repr)
 
 
@@ -55,7 +56,21 @@ def test_drop_copies_keeps_columns_and_one_row_of_a_group(edge):
     assert kept.columns == wide.columns
     ids = [r["doc_id"] for r in kept.collect()]
     # ids 2 and 2 are one repeated row; 3, 4 and the null row hold the same empty text as the longer 5
-    assert sorted(i for i in ids if i is not None) == [2, 2, 5, 6, 7, 8, 9, 10, 11] and 3 not in ids
+    assert sorted(i for i in ids if i is not None) == [2, 5, 6, 7, 8, 9, 10, 11] and ids.count(None) == 1
+
+
+@pytest.mark.parametrize("owner", [5, None])
+def test_many_equal_rows_of_one_id_leave_one(spark, owner):
+    rows = [(owner, "same text", None, None)] * 10_000 + [(i, f"own {i}", None, None) for i in range(100, 200)]
+    df = documents(spark, rows).repartition(6)
+    found = exact_dedup.exact_dedup(df).where("group_size > 1").collect()
+    assert len(found) == 10_000 and sum(r["kept"] for r in found) == 1 and {r["keep_id"] for r in found} == {owner}
+    assert exact_dedup.drop_copies(df).count() == 101
+
+
+def test_a_text_dropped_in_one_row_goes_though_its_id_stays(spark):
+    df = documents(spark, [(1, "own text", None, None), (1, "shared", None, None), (0, "shared", None, None)])
+    assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(df).collect()) == [(0, "shared"), (1, "own text")]
 
 
 def brute_shingles(text):

@@ -25,6 +25,7 @@ def test_stages_in_order(spark, sf_dir, tmp_path):
     scored = score_quality(seen["documents"], spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()
     assert ids["quality"] == {r["doc_id"] for r in scored if r["score"] >= 0.5}
     assert ids["exact_dedup"] == {r[0] for r in brute_exact(texts("quality")) if r[3]}
+    assert seen["exact_dedup"].count() == sum(r[3] for r in brute_exact(texts("quality")))
     assert ids["near_dedup"] == {r[0] for r in brute_near(texts("exact_dedup")) if r[3]}
     assert ids["mixing"] == ids["near_dedup"] == ids["packing"]
     assert all(seen[k].columns == seen["documents"].columns for k in ids if k != "packing")
