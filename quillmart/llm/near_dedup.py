@@ -327,3 +327,35 @@ def drop_near_copies(documents: DataFrame) -> DataFrame:
     rows = documents.where(linkable).withColumns({id_: F.col("doc_id"), h1: a, h2: b})
     once = rows.dropDuplicates([id_, h1, h2]).join(best, [id_, h1, h2], "left_semi").select(*documents.columns)
     return once.unionByName(documents.where(~linkable))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), w AS (
+  SELECT rid, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM t
+), g AS (
+  SELECT rid, n, pos, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)
+), l AS (
+  SELECT rid, list_sort(list(DISTINCT shingle)) AS sets FROM g WHERE pos <= greatest(1, n - 4) GROUP BY rid
+), d AS MATERIALIZED (
+  SELECT doc_id, coalesce(sets, []) AS sets FROM t LEFT JOIN l USING (rid)
+), c AS (
+  SELECT sets, row_number() OVER () AS cls, len(sets) AS n FROM (SELECT DISTINCT sets FROM d WHERE doc_id IS NOT NULL AND len(sets) > 0)
+), s AS (
+  SELECT cls, n, unnest(sets) AS shingle FROM c
+), p AS (
+  SELECT a.cls AS x, b.cls AS y FROM s a JOIN s b ON a.shingle = b.shingle AND a.cls < b.cls GROUP BY a.cls, a.n, b.cls, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), m AS MATERIALIZED (
+  SELECT DISTINCT doc_id, cls FROM d JOIN c ON d.sets = c.sets WHERE doc_id IS NOT NULL
+), e AS MATERIALIZED (
+  SELECT DISTINCT a.doc_id AS i, b.doc_id AS j FROM m a JOIN m b USING (cls)
+  UNION SELECT a.doc_id, b.doc_id FROM p JOIN m a ON a.cls = x JOIN m b ON b.cls = y
+  UNION SELECT b.doc_id, a.doc_id FROM p JOIN m a ON a.cls = x JOIN m b ON b.cls = y
+), r AS (
+  SELECT i, j FROM e UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i
+), k AS (
+  SELECT i, min(j) AS component_id FROM r GROUP BY i
+)
+SELECT d.doc_id, CAST(len(sets) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) IS NOT DISTINCT FROM d.doc_id AS kept FROM d LEFT JOIN k ON d.doc_id = k.i
+"""

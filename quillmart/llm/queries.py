@@ -12,7 +12,7 @@ from quillmart.llm.exact_dedup import OP4_SQL, exact_dedup
 from quillmart.llm.langid import identify_languages
 from quillmart.llm.licenses import OP5_SQL, scan_licenses
 from quillmart.llm.mixing import mix_sources
-from quillmart.llm.near_dedup import near_duplicates
+from quillmart.llm.near_dedup import OP6_SQL, near_duplicates
 from quillmart.llm.packing import pack_documents
 from quillmart.llm.quality import score_quality
 from quillmart.llm.sharding import stratified_shards
@@ -72,4 +72,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_langid, op3_packing, op4_exact_dedup, op5_licenses, op6_near_dedup, op7_toxicity, op8_quality, op9_mixing, op10_sharding, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_licenses": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_licenses": OP5_SQL, "op6_near_dedup": OP6_SQL}
