@@ -20,16 +20,29 @@ ROUNDS, TOLERANCE = 30, 1e-4
 _FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint32)
 
 
-def _buckets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram buckets of all texts one after another, and where each text begins (one more than texts)."""
-    raw = text.cast(pa.large_binary())
-    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    data = _FOLD[np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
-    ends = ends - ends[0]
-    grams = np.zeros(len(data), np.uint32)
-    for k in range(GRAM):
-        grams[: len(data) - k] = grams[: len(data) - k] * np.uint32(257) + data[k:]
-    return (grams * np.uint32(2654435761)) >> np.uint32(16), ends
+#: Bytes of a text that are turned into n-grams at once.
+_PORTION = 1 << 20
+
+
+def buckets(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram buckets of a text and how often each occurs; a shorter text is filled up with blanks.
+
+    At most BUCKETS of either, however long the text is.
+    """
+    raw = raw.ljust(GRAM)
+    last = len(raw) - GRAM + 1
+    total = np.zeros(BUCKETS, np.int64) if last > _PORTION else None
+    for at in range(0, last, _PORTION):
+        data = _FOLD[np.frombuffer(raw, np.uint8, min(_PORTION, last - at) + GRAM - 1, at)]
+        grams = np.zeros(len(data) - GRAM + 1, np.uint32)
+        for k in range(GRAM):
+            grams = grams * np.uint32(257) + data[k : k + len(grams)]
+        grams = (grams * np.uint32(2654435761)) >> np.uint32(16)
+        if total is None:
+            return np.unique(grams, return_counts=True)
+        total += np.bincount(grams, minlength=BUCKETS)
+    found = np.flatnonzero(total)
+    return found, total[found]
 
 
 def _counted(languages: list[str]):
@@ -37,13 +50,10 @@ def _counted(languages: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((len(languages), BUCKETS), np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                grams, ends = _buckets(batch["text"])
-                for lang, a, b in zip(batch["lang"].to_pylist(), ends[:-1], ends[1:], strict=True):
-                    if b - a >= GRAM:
-                        np.add.at(totals[place[lang]], grams[a : b - GRAM + 1], 1)
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                found, times = buckets(text.as_py().encode())
+                totals[place[lang.as_py()], found] += times
         l, g = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(l, pa.int32()), pa.array(g, pa.int32()), pa.array(totals[l, g], pa.int64())], names=["l", "g", "n"])
 
@@ -68,36 +78,38 @@ def fit_languages(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     return languages, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
-def mixture(p: np.ndarray) -> tuple[np.ndarray, float]:
+def mixture(p: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions of the columns' languages and the log-likelihood, by expectation-maximisation.
 
-    p[i, l] is the likelihood of n-gram i under language l, scaled so that the best of a row is 1.
+    p[i, l] is the likelihood of n-gram i under language l, scaled so that the best of a row is 1; the n-gram occurs
+    times[i] times.
     """
-    n, k = p.shape
+    k, n = p.shape[1], float(times.sum())
     share = np.full(k, 1.0 / k, p.dtype)
     if k == 1:
-        return share, float(np.log(p[:, 0]).sum(dtype=np.float64))
+        return share, float(times @ np.log(p[:, 0]))
+    weight = times.astype(p.dtype)
     for _ in range(ROUNDS):
-        new = share * (p.T @ (1.0 / (p @ share))) / n
+        new = share * (p.T @ (weight / (p @ share))) / p.dtype.type(n)
         moved = np.abs(new - share).max()
         share = new / new.sum()
         if moved < TOLERANCE:
             break
-    return share, float(np.log(p @ share).sum(dtype=np.float64))
+    return share, float(times @ np.log(p @ share))
 
 
-def language_set(p: np.ndarray) -> tuple[list[int], np.ndarray]:
+def language_set(p: np.ndarray, times: np.ndarray) -> tuple[list[int], np.ndarray]:
     """Chosen languages, largest share first, and their shares.
 
     The mixture of all languages ranks them. Beginning with the best single one, the next language by share joins as
     long as the penalised likelihood grows.
     """
-    n, k = p.shape
-    single = np.log(p).sum(0, dtype=np.float64)
+    n, k = float(times.sum()), p.shape[1]
+    single = times @ np.log(p)
     chosen, share, best = [int(single.argmax())], np.ones(1), float(single.max())
     if k == 1:
         return chosen, share
-    full, _ = mixture(p)
+    full, _ = mixture(p, times)
     cost = PENALTY * np.log(n + 1.0)
     for l in np.argsort(-full):
         if l in chosen:
@@ -105,7 +117,7 @@ def language_set(p: np.ndarray) -> tuple[list[int], np.ndarray]:
         trial = [*chosen, int(l)]
         if full[l] * n < 1:
             break
-        part, likelihood = mixture(np.ascontiguousarray(p[:, trial]))
+        part, likelihood = mixture(np.ascontiguousarray(p[:, trial]), times)
         if likelihood - best <= cost:
             break
         chosen, share, best = trial, part, likelihood
@@ -119,13 +131,13 @@ def _predicted(languages: list[str], shared):
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                grams, ends = _buckets(batch["text"])
                 pred, score, sets, shares = [], [], [], []
-                for letters, a, b in zip(batch["letters"].to_pylist(), ends[:-1], ends[1:], strict=True):
-                    if not letters or not languages or b - a < 1:
+                for letters, text in zip(batch["letters"].to_pylist(), batch["text"], strict=True):
+                    if not letters or not languages:
                         pred.append("und"), score.append(0.0), sets.append([]), shares.append([])
                         continue
-                    chosen, share = language_set(scaled[grams[a : max(a + 1, b - GRAM + 1)]])
+                    found, times = buckets(text.as_py().encode())
+                    chosen, share = language_set(scaled[found], times)
                     pred.append(languages[chosen[0]]), score.append(float(min(1.0, share[0])))
                     sets.append([languages[i] for i in chosen]), shares.append([float(x) for x in share])
                 yield pa.RecordBatch.from_arrays(
@@ -144,6 +156,7 @@ def identify_languages(documents: DataFrame) -> DataFrame:
     largest share of the set, which is the score. Rows with crc32(doc_id) mod 5 equal to 0 are never learned from, nor
     are rows with null text, language or id; language, source and id are no inputs of a prediction.
 
+    A text is held as its distinct n-grams with their counts, at most BUCKETS however long it is.
     A text that is null or has no letter is ``und`` with score 0; if nothing can be learned, every text is. Equal
     texts get equal answers. An empty table gives no rows; other columns are ignored.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -47,6 +48,47 @@ def test_language_mixture_and_edges(spark, edge, no_documents):
     assert langid.identify_languages(no_documents).collect() == []
 
 
+def plain_mixture(counts, likelihood, languages):
+    """Shares of the languages by expectation-maximisation, in plain Python, and the log-likelihood."""
+    share = {l: 1 / len(languages) for l in languages}
+    for _ in range(400):
+        new = dict.fromkeys(languages, 0.0)
+        for g, c in counts.items():
+            whole = sum(share[l] * likelihood[g][l] for l in languages)
+            for l in languages:
+                new[l] += c * share[l] * likelihood[g][l] / whole
+        share = {l: x / sum(counts.values()) for l, x in new.items()}
+    return share, sum(c * math.log(sum(share[l] * likelihood[g][l] for l in languages)) for g, c in counts.items())
+
+
+def test_mixture_and_set_equal_plain_expectation_maximisation():
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet(np.ones(40), size=4).T.astype(np.float32)
+    likelihood = (p / p.max(1, keepdims=True)).tolist()
+    for mix in ([1.0, 0, 0, 0], [0.6, 0.4, 0, 0], [0.3, 0.3, 0.4, 0]):
+        grams = rng.choice(40, size=3000, p=np.array(p, float) @ mix / (np.array(p, float) @ mix).sum())
+        found, times = np.unique(grams, return_counts=True)
+        counts = dict(zip(found.tolist(), times.tolist(), strict=True))
+        rows = np.array(likelihood, np.float32)[found]
+        share, fit = langid.mixture(rows, times)
+        want, best = plain_mixture(counts, likelihood, range(4))
+        assert max(abs(share[l] - want[l]) for l in range(4)) < 0.02 and abs(fit - best) < 2  # thirty rounds against four hundred
+        # the set with the best penalised likelihood among all sets, when languages differ this clearly
+        chosen, _ = langid.language_set(rows, times)
+        cost = langid.PENALTY * math.log(3001)
+        sets = [[l for l in range(4) if s >> l & 1] for s in range(1, 16)]
+        assert sorted(chosen) == max(sets, key=lambda s: plain_mixture(counts, likelihood, s)[1] - cost * len(s))
+
+
+def test_grams_of_short_and_long_texts(monkeypatch):
+    whole = bytes(random.Random(2).choices(b"abc d", k=5000))
+    want = dict(zip(*(x.tolist() for x in langid.buckets(whole)), strict=True))
+    monkeypatch.setattr(langid, "_PORTION", 700)
+    assert dict(zip(*(x.tolist() for x in langid.buckets(whole)), strict=True)) == want and sum(want.values()) == 4998
+    assert [x.tolist() for x in langid.buckets(b"a")] == [x.tolist() for x in langid.buckets(b"a  ")]
+    assert langid.buckets(b"ab")[1].tolist() == [1]
+
+
 def test_toxicity_on_held_out_documents(spark, medium_dir):
     medium_dir = medium_dir.replace("sf0.01", "sf0.1")  # toxic labels are rare: the smaller table holds six of them out
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{medium_dir}/labels.parquet").collect() if r["toxic"] is not None}
