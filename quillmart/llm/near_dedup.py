@@ -19,8 +19,8 @@ SHINGLE_WORDS = 5
 #: Signature length, and matching coordinates that a pair needs to be compared in full. A pair at similarity 0.75
 #: matches in 24 of 32 coordinates on average; fewer than 12 has a probability of about 3 in a million.
 COORDINATES, MATCHES = 32, 12
-#: Rounds in which every posting list is compared with one pivot before what is left is compared pairwise.
-PIVOT_ROUNDS = 2
+#: Pivots with which every posting list is compared before what is left is compared pairwise.
+PIVOTS = 3
 #: Members of a hot posting list that meet as many others in one cell of its grid.
 CELL_ROWS = 1024
 #: A text with a word; others have no shingle.
@@ -130,10 +130,15 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures match in MATCHES coordinates or more."""
+    """Pairs whose parity tables allow a link and whose signatures match in MATCHES coordinates or more.
+
+    A link needs a symmetric difference of at most a seventh of the sizes' sum n; the tables differ in no more bits.
+    """
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
-        yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= MATCHES))
+        x, y = (batch[c].flatten().to_numpy().view(np.uint64).reshape(-1, PARITY_WORDS) for c in ("bits_a", "bits_b"))
+        apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        yield batch.select(["a", "b"]).filter(pa.array(((a == b).sum(1) >= MATCHES) & (7 * apart <= batch["n"].to_numpy())))
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,23 +188,13 @@ def _bits_allow(a: str, b: str, n: Column) -> Column:
 def _confirm(pairs: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, n: sum of sizes) that are links: by parity table, signature and then full sets."""
     side = lambda c: facts.select(F.col("cls").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("sig").alias(f"sig_{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where(_bits_allow("bits_a", "bits_b", F.col("n")))
-    near = durable(met.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n", "bits_a", "bits_b", "sig_a", "sig_b")
+    near = durable(met.mapInArrow(_alike, "a long, b long"))
     with_a = near.join(sets.select(F.col("cls").alias("a"), F.col("shingle_set").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("shingle_set").alias("set_b")), "b")
     return durable(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long"))
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (cls, label, n, s) after joining the labels that the links (a, b of classes) connect."""
-    a = labels.select(F.col("cls").alias("a"), F.col("label").alias("la"))
-    b = labels.select(F.col("cls").alias("b"), F.col("label").alias("lb"))
-    joined = connected_components(links.join(a, "a").join(b, "b"), "la", "lb")
-    moved = joined.select(F.col("node").alias("label"), F.col("component").alias("to"))
-    kept = join_unique(labels, moved, "label", hot_keys(labels, "label"), "left")
-    return durable(kept.select("cls", F.coalesce("to", "label").alias("label"), "n", "s"))
-
-
 def _pair(a: str, b: str, n: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), n.alias("n")]
 
@@ -253,35 +248,34 @@ def _judged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     lone = shared.where("owners = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("lone"))
     posted = classes.select("cls", "n", "sig").join(sets.select("cls", "bits"), "cls").join(lone, "cls", "left").withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0)))
     facts = durable(posted.where("100 * s >= 75 * n").select("cls", "n", "s", "bits", "sig"))
-    labels = facts.select("cls", F.col("cls").alias("label"), "n", "s")
-    for turn in range(PIVOT_ROUNDS):
-        at = postings.join(labels, "cls")
-        order = F.struct(F.xxhash64(F.lit(turn), "token", "cls").alias("h"), "cls", "label", "n", "s")
-        pivots = at.groupBy("token").agg(F.min(order).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "p")
-        met = join_unique(at, pivots, "token", hot_tokens).where((F.col("label") != F.col("p.label")) & _may_link("{}", "p.{}"))
-        pairs = met.select(*_pair("cls", "p.cls", F.col("n") + F.col("p.n"))).distinct()
-        labels = _relabelled(labels, _confirm(pairs, facts, sets))
+    members = postings.join(facts.select("cls", "n", "s"), "cls")
+    order = [F.struct(F.xxhash64(F.lit(turn), "token", "cls").alias("h"), "cls", "n", "s") for turn in range(PIVOTS)]
+    pivots = members.groupBy("token").agg(F.array_distinct(F.array(*[F.min(x) for x in order])).alias("pivots"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "pivots")
+    met = join_unique(members, pivots, "token", hot_tokens).select("cls", "n", "s", F.explode("pivots").alias("p"))
+    met = met.where((F.col("cls") != F.col("p.cls")) & _may_link("{}", "p.{}"))
+    links = _confirm(met.select(*_pair("cls", "p.cls", F.col("n") + F.col("p.n"))).distinct(), facts, sets)
 
     # members outside the largest component of their list meet all of other components
-    at = durable(postings.join(labels, "cls"))
+    known = connected_components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("known"))
+    at = durable(postings.join(facts.select("cls", "n", "s").join(known, "cls", "left").select("cls", F.coalesce("known", "cls").alias("label"), "n", "s"), "cls"))
     parts = at.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("m.label").alias("most"))
-    side = lambda rows, x: rows.join(facts.select("cls", "bits"), "cls").select(*[F.col(c).alias(f"{c}_{x}") for c in ("cls", "label", "n", "s", "bits")], "token", "most")
-    among = durable(side(join_unique(at, largest, "token", hot_tokens), "a"))
+    among = join_unique(at, largest, "token", hot_tokens).join(facts.select("cls", "bits"), "cls")
+    among = durable(among.select(*[F.col(c).alias(f"{c}_a") for c in ("cls", "label", "n", "s", "bits")], "token", "most"))
     left = _grid(among.where("label_a <> most"), hot_tokens, "row", "column", "cls_a")
     right = _grid(among.select("token", *[F.col(f"{c}_a").alias(f"{c}_b") for c in ("cls", "label", "n", "s", "bits")]), hot_tokens, "column", "row", "cls_b")
     # between two members outside the largest component each pair is looked at once
     once = (F.col("label_b") == F.col("most")) | (F.col("cls_a") < F.col("cls_b"))
     sizes = F.col("n_a") + F.col("n_b")
     met = left.join(right, ["token", "row", "column"]).where((F.col("label_a") != F.col("label_b")) & once & _may_link("{}_a", "{}_b") & _bits_allow("bits_a", "bits_b", sizes))
-    links = _confirm(met.select(*_pair("cls_a", "cls_b", sizes)).distinct(), facts, sets)
+    links = links.unionByName(_confirm(met.select(*_pair("cls_a", "cls_b", sizes)).distinct(), facts, sets))
 
     same = _same_id_links(linkable, classes, hot_sets)
-    whole = classes.select("cls", F.col("cls").alias("label"), "n", F.lit(0).cast("long").alias("s")).join(labels.select("cls", F.col("label").alias("known")), "cls", "left")
-    labels = _relabelled(durable(whole.select("cls", F.coalesce("known", "label").alias("label"), "n", "s")), links if same is None else links.unionByName(same))
-    named = classes.join(labels.select("cls", "label"), "cls")
-    best = named.groupBy("label").agg(F.min("best").alias("best"))
-    found = durable(join_unique(named.select("set_key", "label"), best, "label", hot_keys(labels, "label")).select("set_key", "best"))
+    joined = durable(connected_components(links if same is None else links.unionByName(same), "a", "b"))
+    named = durable(joined.withColumnRenamed("node", "cls").join(classes.select("cls", "best"), "cls"))
+    best = named.groupBy("component").agg(F.min("best").alias("least"))
+    moved = join_unique(named.select("cls", "component"), best, "component", hot_keys(named, "component")).select("cls", "least")
+    found = durable(classes.select("cls", "set_key", "best").join(moved, "cls", "left").select("set_key", F.coalesce("least", "best").alias("best")))
     out = join_unique(linkable.select("doc_id", "h1", "h2", "n_shingles", "set_key"), found, "set_key", hot_sets).drop("set_key")
     return out, signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "h1", "h2", "n_shingles")
 
@@ -297,10 +291,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Documents with equal shingle sets are one class, so copies cost one row each. Every class posts the prefix of its
     signature; classes that meet in a posting list are compared by their signatures and, from MATCHES on, by their
     full sets. Shingles that no other posted class holds bound the intersection beforehand, which takes out classes
-    and pairs that cannot link, as do tables of parities. A large list is not turned into all its pairs: in each of
-    PIVOT_ROUNDS rounds its members are compared with one pivot, links join components, and only members outside the
-    pivot's component are looked at again. At last the members outside the largest component of their list are compared
-    with all members of other components, so no link that could join two components is lost. A token that many classes
+    and pairs that cannot link, as do tables of parities. A large list is not turned into all its pairs: its members
+    are first compared with PIVOTS pivots, and links join components. Then the members outside the largest component of
+    their list are compared with all members of other components, so no link that could join two components is lost. A token that many classes
     post is joined where its rows are, and in the last step its list is dealt over a grid of cells.
 
     Empty and null texts have no shingles, are linked with nothing and are kept. Rows with a null doc_id are their

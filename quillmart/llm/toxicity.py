@@ -15,6 +15,8 @@ from quillmart.llm.common import held_out, label_sample
 
 #: Weights; the most labelled rows that are learned from; passes over them; rows that a feature must occur in.
 WIDTH, SAMPLE_ROWS, PASSES, LEAST_ROWS = 1 << 22, 16_384, 4, 4
+#: The weight of an example of the rarer label 1: how many examples of label 0 there are for it, to this power.
+RARE_POWER = 0.6
 #: FTRL-proximal: learning rate, its damping, L2, and L1 for each thousand examples (one at least).
 ALPHA, BETA, L2, L1_PER_THOUSAND = 1.0, 1.0, 1.0, 1.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -59,7 +61,7 @@ def learn(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarra
     kept = [(np.append(x[rows[x] >= min(LEAST_ROWS, len(examples))], WIDTH), y) for x, y in examples]
     l1 = max(1.0, L1_PER_THOUSAND * len(examples) / 1000)
     ones = sum(y for _, y in examples)
-    weight = max(1.0, ((len(examples) - ones) / ones) ** 0.6) if ones else 1.0
+    weight = max(1.0, ((len(examples) - ones) / ones) ** RARE_POWER) if ones else 1.0
     z, n = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     for _ in range(PASSES):
         for i, y in kept:
