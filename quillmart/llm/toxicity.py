@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from quillmart.llm.common import held_out, label_sample
 
 #: Weights; the most labelled rows that are learned from; passes over them; rows that a feature must occur in.
-WIDTH, SAMPLE_ROWS, PASSES, LEAST_ROWS = 1 << 22, 16_384, 4, 4
+WIDTH, SAMPLE_ROWS, PASSES, LEAST_ROWS = 1 << 22, 16_384, 12, 2
 #: The weight of an example of the rarer label 1: how many examples of label 0 there are for it, to this power.
-RARE_POWER = 0.6
+RARE_POWER = 0.8
 #: FTRL-proximal: learning rate, its damping, L2, and L1 for each thousand examples (one at least).
-ALPHA, BETA, L2, L1_PER_THOUSAND = 1.0, 1.0, 1.0, 1.7
+ALPHA, BETA, L2, L1_PER_THOUSAND = 4.0, 1.0, 1.0, 5.0
 _WORD = re.compile(r"[^\W\d_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
