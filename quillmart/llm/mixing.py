@@ -47,21 +47,31 @@ def pfair_period(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def tempered_shares(documents: DataFrame, exponent: float) -> dict[str, float]:
-    """rows ** exponent by source key: one row per source reaches the driver, more than MOST_SOURCES is an error."""
+def source_rows(documents: DataFrame) -> dict[str, int]:
+    """Rows by source key: one row per source reaches the driver, more than MOST_SOURCES is an error."""
     rows = documents.groupBy(source_key(F.col("source")).alias("k")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; give target weights for groups of them")
-    return {r["k"]: float(r["n"]) ** exponent for r in rows}
+    return {r["k"]: r["n"] for r in rows}
+
+
+def bound_ends(parts: dict[str, int], plan: list[tuple[str, int, int, int, int]], rows: dict[str, int], block_rows: int) -> int:
+    """The last slot up to which every source still has blocks; -1 if one has no row at all."""
+    at = {(k, j): slot for k, j, slot, _, _ in plan}
+    period, ends = sum(parts.values()), []
+    for k, a in parts.items():
+        turn, j = divmod(-(-rows.get(k, 0) // block_rows) - 1, a)
+        ends.append(at[k, j] + turn * period)
+    return max(-1, min(ends, default=-1))
 
 
 def mix_sources(documents: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 16, seed: int = 23, exponent: float = 0.7) -> DataFrame:
-    """The place of every row: doc_id, _k (source key), _crc, _block, _slot, _release, _deadline, _within, _weight.
+    """The place of every row: doc_id, _k (source key), _crc, _block, _slot, _release, _deadline, _within, _weight, _bounded.
 
     Rows of a source are shuffled by a seeded hash and cut in blocks. The schedule of one period is worked out once
     from the weights alone (its size does not depend on the rows) and repeats, so the slot of any block is plain
     arithmetic. In the order (_slot, _within) every source is less than a block off its target weight for as long as
-    all sources last; a source that is over-represented goes on, in the same slots, after the others have run out,
+    all sources last, which ``_bounded`` says; a source that is over-represented goes on, in the same slots, after the others have run out,
     so no row is lost. Weights left out are the sources' row counts to the power ``exponent``, which lifts small
     sources; given weights need not sum to one, and rows of sources that have none (or zero) are not in the mix.
 
@@ -69,13 +79,16 @@ def mix_sources(documents: DataFrame, weights: dict[str | None, float] | None =
     equal rows take neighbouring places in either order. Null and empty texts are mixed like others. An empty table
     gives no rows. Columns other than doc_id, text and source are ignored.
     """
+    counted = source_rows(documents)
     if weights is None:
-        shares = tempered_shares(documents, exponent)
+        shares = {k: float(n) ** exponent for k, n in counted.items()}
     else:
         shares = {"-" if k is None else f"={k}": float(v) for k, v in weights.items() if v > 0}
     spark = documents.sparkSession
     parts = parts_of(shares) if shares else {}
-    plan = spark.createDataFrame([(k, parts[k], *rest) for k, *rest in pfair_period(parts)], "_k string, _parts int, _j int, _at long, _from long, _by long")
+    windows = pfair_period(parts)
+    last = bound_ends(parts, windows, counted, block_rows)
+    plan = spark.createDataFrame([(k, parts[k], *rest) for k, *rest in windows], "_k string, _parts int, _j int, _at long, _from long, _by long")
     period = sum(parts.values())
 
     keys = documents.select("doc_id", source_key(F.col("source")).alias("_k"), F.crc32(F.coalesce("text", F.lit(""))).alias("_crc"))
@@ -85,7 +98,8 @@ def mix_sources(documents: DataFrame, weights: dict[str | None, float] | None =
     slotted = ranked.join(F.broadcast(sizes), "_k").withColumn("_j", (F.col("_block") % F.col("_a")).cast("int")).withColumn("_turn", F.floor(F.col("_block") / F.col("_a")))
     slotted = slotted.join(F.broadcast(plan), ["_k", "_j"])
     later = F.col("_turn") * period
-    return slotted.select("doc_id", "_k", "_crc", "_block", (F.col("_at") + later).alias("_slot"), (F.col("_from") + later).alias("_release"), (F.col("_by") + later).alias("_deadline"), "_within", F.col("_parts").alias("_weight"))
+    slot = F.col("_at") + later
+    return slotted.select("doc_id", "_k", "_crc", "_block", slot.alias("_slot"), (F.col("_from") + later).alias("_release"), (F.col("_by") + later).alias("_deadline"), "_within", F.col("_parts").alias("_weight"), (slot <= last).alias("_bounded"))
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:

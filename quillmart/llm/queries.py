@@ -58,7 +58,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     placed = mix_sources(docs)
     source = F.when(F.col("_k") != "-", F.expr("substring(_k, 2)"))
-    return placed.select("doc_id", source.alias("source"), F.col("_weight").alias("weight_parts"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_within").alias("place_in_block"))
+    return placed.select("doc_id", source.alias("source"), F.col("_weight").alias("weight_parts"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_within").alias("place_in_block"), F.col("_bounded").alias("bounded"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,6 +125,38 @@ def test_mix_places_every_row_once(small_docs):
     assert all(r["_release"] <= r["_slot"] < r["_deadline"] for r in rows)
 
 
+def brute_mix(rows, block_rows, period=4096, exponent=0.7):
+    """(source, block, slot) of every block: at each slot the released block with the earliest deadline, in plain Python."""
+    counts = Counter(s for s in rows)
+    parts = mixing.parts_of({("-" if s is None else f"={s}"): n**exponent for s, n in counts.items()}, period)
+    whole = sum(parts.values())
+    blocks = {k: -(-n // block_rows) for k, n in ((("-" if s is None else f"={s}"), n) for s, n in counts.items())}
+    done, out, slot = dict.fromkeys(parts, 0), [], 0
+    while any(done[k] < blocks[k] for k in parts):
+        ready = [k for k in parts if done[k] * whole // parts[k] <= slot]
+        k = min(ready, key=lambda k: (-(-(done[k] + 1) * whole // parts[k]), k))
+        if done[k] < blocks[k]:
+            out.append((k, done[k], slot))
+        done[k] += 1
+        slot += 1
+    last = min(max(s for k, _, s in out if k == x) for x in parts)
+    return {(k, b, s, s <= last) for k, b, s in out}
+
+
+def test_op9_equals_a_brute_force_mix(spark, sf_dir, small_docs):
+    from quillmart.llm import queries
+
+    rows = queries.op9_mixing(spark, sf_dir).collect()
+    sources = [r["source"] for r in small_docs.select("source").collect()]
+    key = lambda s: "-" if s is None else f"={s}"
+    assert {(key(r["source"]), r["block"], r["slot"], r["bounded"]) for r in rows} == brute_mix(sources, 16)
+    assert Counter(r["source"] for r in rows) == Counter(sources) and len({r["doc_id"] for r in rows}) == len(rows)
+    assert len({(r["slot"], r["place_in_block"]) for r in rows}) == len(rows) and max(r["place_in_block"] for r in rows) < 16
+    skewed = [(i, "t", None, "a" if i < 700 else ("b" if i % 2 else None)) for i in range(1000)]
+    got = mixing.mix_sources(documents(spark, skewed), block_rows=4).collect()
+    assert {(r["_k"], r["_block"], r["_slot"], r["_bounded"]) for r in got} == brute_mix([s for *_, s in skewed], 4)
+
+
 def test_mix_weights_edges_and_columns(spark, edge, no_documents):
     wide = with_clashes(edge)
     kept = mixing.mixed_documents(wide)
