@@ -47,8 +47,8 @@ def rough_tokens(c: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.char_length(c) * 2 / 5)).cast("long")
 
 
-def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "[.!?]+[ \n]+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
+def sentences(c: Column, ends: str = "[.!?]+[ \n]+|\n+") -> Column:
+    return F.filter(F.transform(F.split(c, ends), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def strip_prefixes(c: Column, prefixes: list[str], most: int = 3) -> Column:

@@ -45,3 +45,23 @@ def mentioning(base: DataFrame, key: str, own: Column, found: DataFrame) -> Data
     """Rows of the base that hold the text themselves or whose key is among ``found`` (one column); the base is read once."""
     keys = found.select(F.col(found.columns[0]).alias("_key")).distinct()
     return base.join(keys, F.col(key) == F.col("_key"), "left").where(F.coalesce(own, F.lit(False)) | F.col("_key").isNotNull()).drop("_key")
+
+
+def folded_equal(c: Column, wanted: str, default: str) -> Column:
+    """Equality without regard to case and outer blanks; null is the default."""
+    return F.lower(F.trim(F.coalesce(c, F.lit(default)))) == wanted
+
+
+def no_suffix(columns: list[Column], suffixes: list[str]) -> Column:
+    """None of the columns, trimmed, ends with any of the suffixes; null ends with nothing."""
+    ends = F.lit(False)
+    for c in columns:
+        for s in suffixes:
+            ends = ends | F.endswith(F.trim(F.coalesce(c, F.lit(""))), F.lit(s))
+    return ~ends
+
+
+def holds_word(c: Column, word: str) -> Column:
+    """The word in the lower-case text, or both without blanks, hyphens and slashes."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.contains(low, F.lit(word)) | F.contains(F.translate(low, " -/", ""), F.lit(word.translate({ord(x): None for x in " -/"})))

@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmart.operators.hot import hot_keys
 
-def neighbours(df: DataFrame, block: list[str], order: list[str], key: str, columns: list[str], reach: int = 2) -> DataFrame:
-    """Candidate pairs of the sorted-neighbourhood method: each row with the ``reach`` rows before it in its block.
 
-    Pairs grow with the rows, never with the square of a block. Columns come twice, as left_* and right_*.
-    """
-    row = F.struct(key, *columns)
-    before = Window.partitionBy(*block).orderBy(*order)
-    seen = df.select(row.alias("r"), *[F.lag(row, i).over(before).alias(f"l{i}") for i in range(1, reach + 1)])
-    met = seen.select("r", F.explode(F.array(*[f"l{i}" for i in range(1, reach + 1)])).alias("l"))
-    both = [F.col(f"{side[0]}.{c}").alias(f"{side}_{c}") for c in [key, *columns] for side in ("left", "right")]
-    return met.where("l IS NOT NULL").select(*both)
+#: Rows of a block from which on its pairs are dealt over a grid of cells.
+CELL_ROWS = 512
 
 
 def block_pairs(df: DataFrame, block: list[str], key: str, columns: list[str]) -> DataFrame:
     """Every pair of rows of a block, the smaller key on the left; columns come twice, as left_* and right_*.
 
-    All pairs are the result, so rows grow with the square of a block; choose a selective block.
+    All pairs are the result, so rows grow with the square of a block; choose a selective block. A large block is
+    split, not cut: its rows are dealt over a square grid, and each cell joins one part of them with another.
     """
-    left = df.select(*block, *[F.col(c).alias(f"left_{c}") for c in [key, *columns]])
-    right = df.select(*block, *[F.col(c).alias(f"right_{c}") for c in [key, *columns]])
-    return left.join(right, block).where(F.col(f"left_{key}") < F.col(f"right_{key}")).drop(*block)
+    rows = df.select(F.xxhash64(*block).alias("_block"), *block, key, *columns)
+    hot = hot_keys(rows, "_block")
+    side = F.lit(1)
+    if hot is not None:
+        rows = rows.join(F.broadcast(hot), "_block", "left")
+        side = F.ceil(F.coalesce("rows_of_key", F.lit(1)) / CELL_ROWS).cast("int")
+    own, every = F.pmod(F.xxhash64(F.lit(7), key), side).cast("int"), F.explode(F.sequence(F.lit(0), side - 1))
+    part = lambda name, cell, other: rows.select(*block, own.alias(cell), every.alias(other), *[F.col(c).alias(f"{name}_{c}") for c in [key, *columns]])
+    met = part("left", "_row", "_column").join(part("right", "_column", "_row"), [*block, "_row", "_column"])
+    return met.where(F.col(f"left_{key}") < F.col(f"right_{key}")).drop(*block, "_row", "_column")
 
 
 def compatible(a: Column, b: Column, wildcards: list[str], soft: list[tuple[str, str]]) -> Column:
@@ -48,6 +49,15 @@ def verdict(vetoes: list[tuple[str, Column]], accepts: list[tuple[str, int, Colu
     return chain.otherwise(as_row(False, 0, otherwise))
 
 
+def rule_table(rules: list[tuple[bool, str, str, str]], otherwise: str) -> str:
+    """SQL for struct(accepted, confidence, reason) of the first of (accepted, confidence, reason, test) that holds.
+
+    Confidence and test are SQL over the columns of the row, so a table of rules is plain data; a null test fails.
+    """
+    row = lambda ok, sure, why: f"named_struct('accepted', {str(ok).lower()}, 'confidence', CAST({sure} AS INT), 'reason', '{why}')"
+    return "CASE " + " ".join(f"WHEN {test} THEN {row(ok, sure, why)}" for ok, sure, why, test in rules) + f" ELSE {row(False, 0, otherwise)} END"
+
+
 def mapped(values: Column, mapping: dict[str, str]) -> Column:
     """The array with its values mapped, those without a mapping left out, each once, in order of first sight."""
     known = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])

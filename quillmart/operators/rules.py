@@ -83,3 +83,8 @@ def windows(docs: DataFrame, key: str, parts: Column, k: int) -> DataFrame:
     rows = docs.select(key, F.posexplode(parts).alias("i", "sentence"))
     near = Window.partitionBy(key).orderBy("i").rowsBetween(-k, k)
     return rows.withColumn("around", F.array_join(F.collect_list("sentence").over(near), " "))
+
+
+def over_fetched(df: DataFrame, order: list[Column], test: Column, wanted: int, times: int = 5, most: int = 1000) -> DataFrame:
+    """The first rows that pass a test applied after the limit: ``times`` as many are fetched, ``most`` at most."""
+    return df.orderBy(*order).limit(min(most, times * wanted)).where(test).orderBy(*order).limit(wanted)

@@ -1,4 +1,4 @@
 """The query catalogue."""
 
-from quillmart.plans import mart, resolution, texts, workflow  # noqa: F401
+from quillmart.plans import coverage, intake, mart, merging, names, resolution, texts, workflow  # noqa: F401
 from quillmart.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -372,4 +372,4 @@ def name_similarity_difflib(spark, d):
     names = table(spark, d, "part").groupBy(*block, "p_name").agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("members"))
     side = lambda s: names.select(*block, *[F.col(c).alias(f"{s}_{c}") for c in ("p_name", "id", "members")])
     pairs = side("left").join(side("right"), block).where("left_id < right_id")
-    return pairs.select("left_id", "right_id", "left_members", "right_members", name_similarity("left_p_name", "right_p_name").alias("similarity"))
+    return pairs.select("left_id", "right_id", "left_members", "right_members", name_similarity(F.col("left_p_name"), F.col("right_p_name")).alias("similarity"))

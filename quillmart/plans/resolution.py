@@ -7,31 +7,26 @@ from pyspark.sql import functions as F
 from quillmart.functions import text as X
 from quillmart.operators import resolve as V
 from quillmart.operators import rules as R
-from quillmart.plans.registry import ORACLE_SQL, query
+from quillmart.plans.registry import query
 from quillmart.sources.files import table
 
 # Demonstration kinds that fit all others, and pairs that fit each other.
 WILD, SOFT = ["STANDARD"], [("ECONOMY", "PROMO"), ("LARGE", "MEDIUM")]
 PAIRS = """
-WITH r AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS kind, CAST(p_partkey % 24 AS INTEGER) AS month, string_split(p_name, ' ') AS words, string_split(p_name, ' ')[-1] AS family, p_size AS size,
-  row_number() OVER (PARTITION BY string_split(p_name, ' ')[-1], p_size ORDER BY p_partkey) AS n FROM part),
+WITH r AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS kind, CAST(p_partkey % 24 AS INTEGER) AS month, string_split(p_name, ' ') AS words, string_split(p_name, ' ')[-1] AS family, p_size AS size FROM part),
 p AS (SELECT a.id AS left_id, b.id AS right_id, a.name = b.name AS same_name, a.brand = b.brand AS same_brand, abs(a.month - b.month) AS apart,
   len(list_intersect(a.words, b.words)) AS common, len(list_distinct(list_concat(a.words, b.words))) AS total,
   a.kind = b.kind OR a.kind = 'STANDARD' OR b.kind = 'STANDARD' OR (least(a.kind, b.kind), greatest(a.kind, b.kind)) IN (('ECONOMY', 'PROMO'), ('LARGE', 'MEDIUM')) AS fits
-  FROM r a JOIN r b ON a.family = b.family AND a.size = b.size AND b.n - a.n BETWEEN 1 AND 2),
+  FROM r a JOIN r b ON a.family = b.family AND a.size = b.size AND a.id < b.id),
 q AS (SELECT *, least(100, CAST(55 * common // total + CASE WHEN same_name THEN 25 ELSE 0 END + CASE WHEN same_brand THEN 12 ELSE 0 END + CASE WHEN apart <= 3 THEN 8 ELSE 0 END + CASE WHEN fits THEN 6 ELSE 0 END AS INTEGER)) AS context FROM p)"""
 
 
-#: The same over every pair of a block.
-ALL_PAIRS = PAIRS.replace(" AND b.n - a.n BETWEEN 1 AND 2", " AND a.id < b.id")
-
-
-def pairs(spark, d, every=False):
-    """Neighbouring parts of one family and size, or every pair of them, with what the verdicts need."""
+def pairs(spark, d):
+    """Every pair of parts of one family and size, with what the verdicts need."""
     words = F.split("p_name", " ")
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), (F.col("p_partkey") % 24).cast("int").alias("month"), words.alias("words"), F.element_at(words, -1).alias("family"), F.col("p_size").alias("size"))
     columns = ["name", "brand", "kind", "month", "words"]
-    met = V.block_pairs(rows, ["family", "size"], "id", columns) if every else V.neighbours(rows, ["family", "size"], ["id"], "id", columns)
+    met = V.block_pairs(rows, ["family", "size"], "id", columns)
     met = met.select(
         "left_id", "right_id",
         (F.col("left_name") == F.col("right_name")).alias("same_name"),
@@ -46,36 +41,36 @@ def pairs(spark, d, every=False):
 
 
 @query(PAIRS + " SELECT left_id, right_id, context FROM q")
-def context_similarity(spark, d, every=False):
-    return pairs(spark, d, every).select("left_id", "right_id", "context")
+def context_similarity(spark, d):
+    return pairs(spark, d).select("left_id", "right_id", "context")
 
 
 @query(PAIRS + """ SELECT left_id, right_id, fits AND apart <= 18 AND (same_name OR (same_brand AND apart <= 3 AND context >= 45) OR (common >= 2 AND context >= 38)) AS same_block,
   CASE WHEN NOT fits THEN 'kind' WHEN apart > 18 THEN 'months' WHEN same_name THEN 'same name' WHEN same_brand AND apart <= 3 AND context >= 45 THEN 'brand and month' WHEN common >= 2 AND context >= 38 THEN 'context' ELSE 'none' END AS reason FROM q""")
-def same_block(spark, d, every=False):
+def same_block(spark, d):
     vetoes = [("kind", ~F.col("fits")), ("months", F.col("apart") > 18)]
     accepts = [("same name", 95, F.col("same_name")), ("brand and month", 74, F.col("same_brand") & (F.col("apart") <= 3) & (F.col("context") >= 45)), ("context", 45, (F.col("common") >= 2) & (F.col("context") >= 38))]
     v = V.verdict(vetoes, accepts, "none")
-    return pairs(spark, d, every).select("left_id", "right_id", v["accepted"].alias("same_block"), v["reason"].alias("reason"))
+    return pairs(spark, d).select("left_id", "right_id", v["accepted"].alias("same_block"), v["reason"].alias("reason"))
 
 
 @query(PAIRS + """, s AS (SELECT *, CASE WHEN apart > 6 OR NOT fits THEN 0 WHEN same_name AND same_brand THEN 96 WHEN same_name THEN 91 WHEN 100 * common >= 70 * total THEN 94 WHEN 100 * common >= 60 * total THEN 92 ELSE 100 * common // total END AS risk FROM q)
 SELECT left_id, right_id, CAST(risk AS INTEGER) AS risk, CASE WHEN risk >= 75 THEN 'merge' WHEN risk >= 65 THEN 'review' ELSE 'keep' END AS action, risk >= 80 AS high FROM s""")
-def pair_risk(spark, d, every=False):
+def pair_risk(spark, d):
     share = lambda n: 100 * F.col("common") >= n * F.col("total")
     risk = F.when((F.col("apart") > 6) | ~F.col("fits"), 0).when(F.col("same_name") & F.col("same_brand"), 96).when(F.col("same_name"), 91).when(share(70), 94).when(share(60), 92).otherwise(F.expr("100 * common div total"))
-    rows = pairs(spark, d, every).select("left_id", "right_id", risk.cast("int").alias("risk"))
+    rows = pairs(spark, d).select("left_id", "right_id", risk.cast("int").alias("risk"))
     action = F.when(F.col("risk") >= 75, "merge").when(F.col("risk") >= 65, "review").otherwise("keep")
     return rows.select("left_id", "right_id", "risk", action.alias("action"), (F.col("risk") >= 80).alias("high"))
 
 
 @query(PAIRS + """ SELECT left_id, right_id, CASE WHEN NOT same_brand OR NOT fits THEN 0 WHEN same_name AND apart <= 6 THEN 97 WHEN same_name THEN 92 WHEN context >= 80 THEN 86 ELSE 0 END AS confidence,
   CASE WHEN NOT same_brand THEN 'other owner' WHEN NOT fits THEN 'other kind' WHEN same_name AND apart <= 6 THEN 'identity' WHEN same_name THEN 'late identity' WHEN context >= 80 THEN 'context' ELSE 'no rule' END AS reason FROM q""")
-def merge_rule(spark, d, every=False):
+def merge_rule(spark, d):
     vetoes = [("other owner", ~F.col("same_brand")), ("other kind", ~F.col("fits"))]
     accepts = [("identity", 97, F.col("same_name") & (F.col("apart") <= 6)), ("late identity", 92, F.col("same_name")), ("context", 86, F.col("context") >= 80)]
     v = V.verdict(vetoes, accepts, "no rule")
-    return pairs(spark, d, every).select("left_id", "right_id", v["confidence"].alias("confidence"), v["reason"].alias("reason"))
+    return pairs(spark, d).select("left_id", "right_id", v["confidence"].alias("confidence"), v["reason"].alias("reason"))
 
 
 @query("""
@@ -292,8 +287,8 @@ def look_back_counts(spark, d):
 
 
 @query(PAIRS + """ SELECT left_id, right_id, same_name OR total < 2 OR 100 * common >= 45 * total AS compatible FROM q""")
-def alias_compatible(spark, d, every=False):
-    return pairs(spark, d, every).select("left_id", "right_id", (F.col("same_name") | (F.col("total") < 2) | (100 * F.col("common") >= 45 * F.col("total"))).alias("compatible"))
+def alias_compatible(spark, d):
+    return pairs(spark, d).select("left_id", "right_id", (F.col("same_name") | (F.col("total") < 2) | (100 * F.col("common") >= 45 * F.col("total"))).alias("compatible"))
 
 
 @query("""
@@ -304,24 +299,12 @@ def family_signature(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat(F.array_join(F.array_sort(words), " "), version).alias("signature"))
 
 
-@query(r"""
-WITH m AS (SELECT doc_id, regexp_extract(text, '(-?[0-9]+)', 1) AS n, lower(substr(text, instr(text, regexp_extract(text, '(-?[0-9]+)', 1)), 40)) AS tail FROM documents WHERE regexp_matches(text, '[0-9]'))
-SELECT doc_id, TRY_CAST(n AS DOUBLE) * CASE WHEN tail LIKE '%thousand%' THEN 1000 WHEN tail LIKE '%million%' THEN 1000000 WHEN tail LIKE '%\%%' ESCAPE '\' THEN 0.01 ELSE 1 END AS value FROM m WHERE length(n) <= 9""")
-def metric_value(spark, d):
-    """The first signed number of a text, times the first magnitude found in the forty characters from it on."""
-    number = F.regexp_extract("text", "(-?[0-9]+)", 1)
-    rows = table(spark, d, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", number.alias("n"), "text")
-    rows = rows.where(F.char_length("n") <= 9).select("doc_id", "n", F.lower(F.substring("text", F.instr("text", F.col("n")), F.lit(40))).alias("tail"))
-    factor = F.when(F.contains("tail", F.lit("thousand")), 1000.0).when(F.contains("tail", F.lit("million")), 1000000.0).when(F.contains("tail", F.lit("%")), 0.01).otherwise(1.0)
-    return rows.select("doc_id", (F.col("n").try_cast("double") * factor).alias("value"))
-
-
 @query(r"""
 WITH t AS (SELECT doc_id, replace(trim(coalesce(text, '')), ',', '') AS s FROM documents),
 m AS (SELECT doc_id, s, regexp_extract(s, '[-+]?[0-9]+(\.[0-9]+)?') AS n FROM t),
 u AS (SELECT doc_id, n, lower(substr(s, instr(s, n) + length(n))) AS tail FROM m)
 SELECT doc_id, coalesce(TRY_CAST(n AS DOUBLE) * CASE WHEN tail LIKE '%thousand%' THEN 1000 WHEN tail LIKE '%million%' THEN 1000000 WHEN tail LIKE '%\%%' ESCAPE '\' THEN 0.01 ELSE 1 END, 0.0) AS value FROM u""")
-def metric_value_whole(spark, d):
+def metric_value(spark, d):
     """Of every text the first signed decimal, commas left out, times the first magnitude anywhere after it; 0 without a number."""
     rows = table(spark, d, "documents").select("doc_id", F.replace(F.trim(F.coalesce("text", F.lit(""))), F.lit(","), F.lit("")).alias("s"))
     rows = rows.select("doc_id", "s", F.regexp_extract("s", r"[-+]?[0-9]+(\.[0-9]+)?", 0).alias("n"))
@@ -390,17 +373,3 @@ def best_context_window(spark, d):
     best = F.array_max(F.transform("m", lambda _, i: F.struct(points(i).alias("points"), (-i).alias("back"))))
     found = flagged.select("doc_id", F.explode(F.array(best)).alias("b"))
     return found.where("b.points > 0").select("doc_id", (-F.col("b.back")).alias("i"), "b.points")
-
-
-def _over_all_pairs(verdict):
-    """The same verdict, by the same expressions, over every pair of a block: all_ and its name."""
-
-    def run(spark, d):
-        return verdict(spark, d, every=True)
-
-    run.__name__ = f"all_{verdict.__name__}"
-    return query(ORACLE_SQL[verdict.__name__].replace(PAIRS, ALL_PAIRS))(run)
-
-
-for _verdict in (context_similarity, same_block, pair_risk, merge_rule, alias_compatible):
-    _over_all_pairs(_verdict)

@@ -74,3 +74,38 @@ def preferred_first(df: DataFrame, preferred: list[str]) -> DataFrame:
     """The preferred columns that there are, in their order, then the others in theirs."""
     first = [c for c in preferred if c in df.columns]
     return df.select(*first, *[c for c in df.columns if c not in first])
+
+
+def json_or_raw(text: F.Column, schema: str, fields: dict[str, str]) -> list[F.Column]:
+    """parsed, the fields of a JSON object, and kept: the text itself where it is no such object."""
+    whole = F.from_json(text, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    good = F.coalesce(F.startswith(text, F.lit("{")) & whole.isNotNull() & whole["_bad"].isNull(), F.lit(False))
+    return [good.alias("parsed"), *[F.when(good, whole[path]).alias(name) for name, path in fields.items()], F.when(~good, text).alias("kept")]
+
+
+def whole_number(c: F.Column) -> F.Column:
+    """A number in text, thousands commas left out, cut to a whole one; null for other text."""
+    return F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("double").try_cast("bigint")
+
+
+def first_number(c: F.Column) -> F.Column:
+    """The first decimal anywhere in the text; null without one."""
+    return F.nullif(F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), r"[-+]?[0-9]+(\.[0-9]+)?", 0), F.lit("")).try_cast("double")
+
+
+def tree_values(df: DataFrame, key: str, column: str, name: str, depth: int = 8) -> DataFrame:
+    """(key, path, value) of every field called ``name`` in a JSON tree, objects and arrays alike, to a depth.
+
+    Each level explodes the one before it as variants, so nothing but rows that have children goes on.
+    """
+    level = df.select(key, F.lit("$").alias("path"), F.try_parse_json(column).alias("node"))
+    found = None
+    for _ in range(depth):
+        child = "SELECT k, path, e.key AS name, e.pos AS pos, e.value AS node FROM level, LATERAL variant_explode(node) AS e"
+        rows = level.sparkSession.sql(child.replace("k,", f"{key},").replace("level", "{level}"), level=level)
+        path = F.concat("path", F.when(F.col("name").isNotNull(), F.concat(F.lit("."), "name")).otherwise(F.concat(F.lit("["), "pos", F.lit("]"))))
+        rows = rows.select(key, path.alias("path"), "name", "node")
+        here = rows.where(F.col("name") == name).select(key, "path", F.expr("try_variant_get(node, '$', 'string')").alias("value"))
+        found = here if found is None else found.unionByName(here)
+        level = rows.select(key, "path", "node")
+    return found.where("value IS NOT NULL")

@@ -7,13 +7,6 @@ from pyspark.sql import functions as F
 from quillmart.operators import resolve as V
 
 
-def test_neighbours_are_linear_in_a_block(spark):
-    df = spark.createDataFrame([(i, "a" if i < 6 else "b") for i in range(8)], "id int, block string")
-    got = V.neighbours(df, ["block"], ["id"], "id", ["block"], 2)
-    assert sorted((r.left_id, r.right_id) for r in got.collect()) == [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (3, 5), (4, 5), (6, 7)]
-    assert V.neighbours(df.limit(0), ["block"], ["id"], "id", ["block"]).count() == 0
-
-
 def test_compatible_kinds(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "a"), ("a", "c"), ("any", "c"), (None, "c")], "x string, y string")
     assert [r[0] for r in df.select(V.compatible(F.col("x"), F.col("y"), ["any"], [("b", "a")])).collect()] == [True, True, True, False, True, None]
@@ -60,21 +53,29 @@ def test_name_similarity_of_all_blocks(spark, sf_dir):
     assert len(got) == len(want) and {(*r[:4], round(r.similarity, 9)) for r in got} == want
 
 
-def test_block_pairs_judge_rows_that_stand_apart(spark):
-    """A row with the same name five places earlier is met; neighbours alone miss it."""
-    from quillmart.operators.resolve import block_pairs, neighbours
+def test_block_pairs_are_all_pairs_of_small_and_split_blocks(spark, monkeypatch):
+    from quillmart.operators import hot
+
+    monkeypatch.setattr(hot, "LEAST_ROWS", 10)
+    monkeypatch.setattr(V, "CELL_ROWS", 7)
+    rows = [(i, 0 if i < 60 else i // 4, f"n{i % 5}") for i in range(90)] + [(200 + i, None, "x") for i in range(3)]
+    df = spark.createDataFrame(rows, "id int, b int, name string")
+    got = [tuple(r) for r in V.block_pairs(df, ["b"], "id", ["name"]).select("left_id", "right_id", "left_name", "right_name").collect()]
+    want = [(i, j, n, m) for i, b, n in rows for j, c, m in rows if i < j and b == c and b is not None]
+    assert sorted(got) == sorted(want)
+    assert V.block_pairs(df.limit(0), ["b"], "id", ["name"]).count() == 0
+
 
-    rows = spark.createDataFrame([(i, 1, "twin" if i in (0, 5) else f"n{i}") for i in range(6)] + [(9, 2, "twin")], "id int, b int, name string")
-    same = lambda df: [(r["left_id"], r["right_id"]) for r in df.where("left_name = right_name").collect()]
-    assert same(block_pairs(rows, ["b"], "id", ["name"])) == [(0, 5)]
-    assert block_pairs(rows, ["b"], "id", ["name"]).count() == 15
-    assert same(neighbours(rows, ["b"], ["id"], "id", ["name"])) == []
+def test_rule_table_takes_the_first_that_holds(spark):
+    rules = [(False, "0", "veto", "x > 5"), (True, "least(9, x)", "one", "x > 1"), (True, "50", "two", "y")]
+    df = spark.createDataFrame([(7, True), (3, True), (0, True), (0, None), (None, None)], "x int, y boolean")
+    assert [tuple(r[0]) for r in df.select(F.expr(V.rule_table(rules, "none"))).collect()] == [(False, 0, "veto"), (True, 3, "one"), (True, 50, "two"), (False, 0, "none"), (False, 0, "none")]
 
 
 def test_metric_values_of_awkward_texts(spark, tmp_path):
-    from quillmart.plans.resolution import metric_value_whole
+    from quillmart.plans.resolution import metric_value
 
     texts = ["3.5 million sold", "1,200,000 units", "none", None, "", "12345678901 items", "+7 and then, " + "x" * 60 + " thousand", "-4.25%", "5."]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["value"] for r in metric_value_whole(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["value"] for r in metric_value(spark, str(tmp_path)).collect()}
     assert got == {0: 3500000.0, 1: 1200000.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 12345678901.0, 6: 7000.0, 7: -0.0425, 8: 5.0}
