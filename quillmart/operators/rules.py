@@ -88,3 +88,18 @@ def windows(docs: DataFrame, key: str, parts: Column, k: int) -> DataFrame:
 def over_fetched(df: DataFrame, order: list[Column], test: Column, wanted: int, times: int = 5, most: int = 1000) -> DataFrame:
     """The first rows that pass a test applied after the limit: ``times`` as many are fetched, ``most`` at most."""
     return df.orderBy(*order).limit(min(most, times * wanted)).where(test).orderBy(*order).limit(wanted)
+
+
+def owner_of(key: Column, aliases: list[tuple[str, str]], least: int = 3) -> Column:
+    """struct(owner, basis) of a squeezed name by (alias, owner), given longest alias first.
+
+    A name shorter than ``least`` is not resolved. Then come an equal alias, an alias inside the name, and an alias
+    around the name; within a tier the longest alias wins.
+    """
+    row = lambda owner, basis: F.struct(F.lit(owner).alias("owner"), F.lit(basis).alias("basis"))
+    chain = F.when(F.char_length(key) < least, row("", "too short"))
+    tiers = [("exact", lambda a: key == a), ("alias in name", lambda a: F.contains(key, F.lit(a))), ("name in alias", lambda a: F.contains(F.lit(a), key))]
+    for basis, test in tiers:
+        for alias, owner in aliases:
+            chain = chain.when(test(alias), row(owner, basis))
+    return chain.otherwise(row("", "none"))

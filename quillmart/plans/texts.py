@@ -212,9 +212,8 @@ def _costs(spark, d):
 
 @query(COST_SQL + " SELECT provider, model, count(*) AS runs, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(coalesce(sum(paid), 0) AS BIGINT) AS cost, CAST(count(*) FILTER (WHERE pi IS NULL) AS BIGINT) AS unpriced FROM cost GROUP BY GROUPING SETS ((), (provider, model), (model))")
 def cost_summary(spark, d):
-    _costs(spark, d).createOrReplaceTempView("quillmart_costs")
     return spark.sql("""SELECT provider, model, count(*) AS runs, sum(tokens) AS tokens, coalesce(sum(paid), 0) AS cost, count_if(in_per_m IS NULL) AS unpriced
-        FROM quillmart_costs GROUP BY GROUPING SETS ((), (provider, model), (model))""")
+        FROM {costs} GROUP BY GROUPING SETS ((), (provider, model), (model))""", costs=_costs(spark, d))
 
 
 @query(COST_SQL + """ SELECT CAST(coalesce(sum(full_cost), 0) AS BIGINT) AS baseline, CAST(coalesce(sum(paid), 0) AS BIGINT) AS actual, CAST(greatest(0, coalesce(sum(full_cost), 0) - coalesce(sum(paid), 0)) AS BIGINT) AS saved,
