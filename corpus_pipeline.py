@@ -51,12 +51,23 @@ STAGES: list[tuple[str, Stage]] = [("quality", quality), ("exact_dedup", exact),
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written in the shared checkpoint folder and read again."""
+    """All stages over the documents; each result is written in the shared checkpoint folder and read again.
+
+    A stage's folder is deleted once the next stage has been written, so only the last one remains.
+    """
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            _delete(spark, before)
+        before = f"{base}/{name}"
     return docs
