@@ -31,6 +31,10 @@ def test_stages_in_order(spark, sf_dir, tmp_path):
     assert all(seen[k].columns == seen["documents"].columns for k in ids if k != "packing")
     ran = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in ran.select("doc_id").collect()} == ids["packing"] and ran.columns == docs.columns
+    import os
+
+    folder = os.path.dirname(os.path.dirname(ran.inputFiles()[0].removeprefix("file://")))
+    assert os.listdir(folder) == ["packing"]  # the folders of earlier stages are gone
 
 
 def test_pipeline_takes_awkward_and_empty_tables(spark, tmp_path):
