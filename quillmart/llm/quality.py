@@ -16,9 +16,9 @@ from quillmart.llm.common import durable, free_names, held_out, label_sample
 
 #: The most labelled rows that are used, half for the dictionaries and half for the calibration; the most pieces of a
 #: class that train its dictionary, and their length; the size of a dictionary.
-SAMPLE_ROWS, PIECES, PIECE_CHARS, DICTIONARY, LEVEL = 16_384, 4_096, 256, 64 << 10, 3
+SAMPLE_ROWS, PIECES, PIECE_CHARS, DICTIONARY, LEVEL = 16_384, 16_384, 512, 112 << 10, 3
 #: Bytes of a window; inputs of the calibration, the constant among them.
-WINDOW, FEATURES = 256, 4
+WINDOW, FEATURES = 512, 5
 
 
 @dataclass
@@ -46,7 +46,7 @@ class _Sizes:
         return zstandard.ZstdCompressor(dict_data=known, **options)
 
     def features(self, text: str) -> tuple[float, ...]:
-        """1, and the normalised size difference of the whole text, of its worst window and of the lower quartile.
+        """1, and the normalised size difference of the whole text, its worst window, the lower quartile and the median.
 
         The difference is (bad - good) / (bad + good) of the compressed sizes, in tenths. Windows cover the whole text;
         a last one of less than half a window is part of the one before it.
@@ -55,7 +55,7 @@ class _Sizes:
         ends = [*range(WINDOW, len(raw) - WINDOW // 2 + 1, WINDOW), len(raw)]
         bad, good = ([len(c.compress(raw[a:b])) for a, b in zip([0, *ends], ends, strict=False)] for c in self.by)
         apart = sorted(10 * (x - y) / (x + y) for x, y in zip(bad, good, strict=True))
-        return 1.0, 10 * (sum(bad) - sum(good)) / (sum(bad) + sum(good)), apart[0], apart[(len(apart) - 1) // 4]
+        return 1.0, 10 * (sum(bad) - sum(good)) / (sum(bad) + sum(good)), apart[0], apart[(len(apart) - 1) // 4], apart[(len(apart) - 1) // 2]
 
 
 def _dictionary(rows: pd.DataFrame) -> pd.DataFrame:
@@ -95,7 +95,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMP
 
     At most ``sample_rows`` whole texts are used. For the dictionaries they are cut in pieces, of which PIECES of each
     class (those with the smallest hash) train its dictionary in a task of their own; the driver gets two
-    dictionaries of fixed size and three numbers for each calibration row. Where one class has no row, its dictionary
+    dictionaries of fixed size and four numbers for each calibration row. Where one class has no row, its dictionary
     is empty, and the calibration says how often the other one occurs.
     """
     sample = durable(label_sample(documents, labels, "quality", sample_rows, 3, 1).withColumn("half", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(2))))
@@ -129,7 +129,7 @@ def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every whole text.
 
     A text is compressed window by window with a dictionary of bad and with one of good text. The normalised difference
-    of the sizes, of the whole text, its worst window and its lower quartile, goes through a logistic calibration. Rows with crc32(doc_id) mod 3
+    of the sizes, of the whole text, its worst window, lower quartile and median, goes through a logistic calibration. Rows with crc32(doc_id) mod 3
     equal to 1 are never learned from. Null and empty texts get the score of an empty text; without labels every score
     is 0.5. Several labels of an id count as the largest; equal texts get equal scores. An empty table gives no rows;
     columns other than doc_id and text (and quality) are ignored.

@@ -104,7 +104,7 @@ def test_quality_on_held_out_documents(spark, medium_dir):
     rows = queries.op8_quality(spark, medium_dir).collect()
     accuracy, recall, alarms = rates(rows, truth)
     held_labels = [truth[r["doc_id"]] for r in rows if r["held_out"] and r["doc_id"] in truth]
-    assert accuracy >= 0.96 > 1.05 * np.mean(held_labels) and recall >= 0.97 and alarms <= 0.15, (accuracy, recall, alarms)
+    assert accuracy >= 0.96 > 1.05 * np.mean(held_labels) and recall >= 0.97 and alarms <= 0.1, (accuracy, recall, alarms)
     assert all(r["held_out"] == held(r["doc_id"], 3, 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
@@ -123,12 +123,12 @@ def test_quality_scores_equal_a_plain_computation(spark, sf_dir):
     scores = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, marks).collect()}
     for r in docs.orderBy("doc_id").limit(25).collect():
         raw, parts = (r["text"] or "").encode(), []
-        while len(raw) >= 256 + 128:
-            parts, raw = [*parts, raw[:256]], raw[256:]
+        while len(raw) >= 512 + 256:
+            parts, raw = [*parts, raw[:512]], raw[512:]
         pairs = [(size(x, model.bad), size(x, model.good)) for x in [*parts, raw]]
         apart = sorted(10 * (b - g) / (b + g) for b, g in pairs)
         bad, good = sum(b for b, _ in pairs), sum(g for _, g in pairs)
-        inputs = [1.0, 10 * (bad - good) / (bad + good), apart[0], apart[(len(apart) - 1) // 4]]
+        inputs = [1.0, 10 * (bad - good) / (bad + good), apart[0], apart[(len(apart) - 1) // 4], apart[(len(apart) - 1) // 2]]
         assert abs(scores[r["doc_id"]] - 1 / (1 + math.exp(-sum(w * x for w, x in zip(model.weights, inputs, strict=True))))) < 1e-9
 
 
