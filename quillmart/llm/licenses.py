@@ -58,15 +58,31 @@ MORE_SENTENCES = {
     26: "either version 3 of the License, or (at your option) any later version",
     27: "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
 }
-MORE_RULES = [("GPL-3.0", (9, 23)), ("GPL-3.0", (23,)), ("GPL-3.0", (24, 26)), ("GPL-2.0", (24, 25)), ("GPL-2.0", (27,)), ("GPL", (24,))]
+# GNU licences of other kinds, ISC and SPDX tags; a semicolon or a comma may stand before the version.
+_GNU = "You can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation"
+_LATER = "either version {} of the License, or (at your option) any later version"
+MORE_SENTENCES |= {
+    28: _GNU.format("Lesser"),
+    29: _GNU.format("Lesser") + ", " + _LATER.format("3"),
+    30: _GNU.format("Lesser") + ", " + _LATER.format("2.1"),
+    31: _LATER.format("2.1"),
+    32: _GNU.format("Affero") + ", " + _LATER.format("3"),
+    33: _GNU.format("Affero"),
+    34: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    35: "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+}
+_SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0"]
+MORE_SENTENCES |= {40 + i: f"SPDX-License-Identifier: {tag}" for i, tag in enumerate(_SPDX)}
+MORE_RULES = [
+    ("GPL-3.0", (9, 23)), ("GPL-3.0", (23,)), ("GPL-3.0", (24, 26)), ("GPL-2.0", (24, 25)), ("GPL-2.0", (27,)), ("GPL", (24,)),
+    ("LGPL-3.0", (29,)), ("LGPL-2.1", (30,)), ("LGPL-3.0", (28, 26)), ("LGPL-2.1", (28, 31)), ("LGPL", (28,)), ("AGPL-3.0", (32,)), ("AGPL-3.0", (33, 26)), ("ISC", (34,)), ("ISC", (35,)),
+] + [(re.sub("-(only|or-later)$", "", tag), (40 + i,)) for i, tag in enumerate(_SPDX)]
 #: Licences that count only where no other is found.
 LAST = ["Proprietary"]
 #: A sentence of the scan ends at . ! ? ; : before white space, or at a line without a letter or digit.
 END = r"[.!?;:](?=[\x20\x09\n])|\n[^a-z0-9\n]*(?=\n)"
 #: The holder's name in the third clause of BSD.
 HOLDER = r"(neither[ \n]+the[ \n]+name[ \n]+of[ \n]+)(?:[a-z0-9]+[ X\n]+){1,20}?(nor[ \n]+the[ \n]+names[ \n]+of[ \n]+its[ \n]+contributors)"
-#: A sentence ends at a line's end, or at . ! ? ; : before white space.
-BREAK = r"[\n\r]+|[.!?;:][\x20\x09]+"
 
 
 def normal_sentence(sentence: Column) -> Column:
@@ -135,25 +151,41 @@ def scan_licenses(documents: DataFrame, sentences: dict[int, str] | None = None,
 
 
 def _oracle() -> str:
-    """The same rules as DuckDB SQL over ``documents``; arrays as text."""
+    """The same tables and rules as DuckDB SQL over ``documents``; arrays as text.
+
+    Its regular expressions look at nothing without taking it, so every mark and line's end stands twice: one ends a
+    sentence, the other begins the next.
+    """
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    known = known_sentences(SENTENCES)
+    sentences, rules = SENTENCES | MORE_SENTENCES, MORE_RULES + RULES
+    known = {re.sub("[^a-z0-9]+", " ", s.lower()).strip(): i for s, i in FORMS.items()} | known_sentences(sentences)
+    ids = {i: known[next(iter(known_sentences({i: s})))] for i, s in sentences.items()}
+    ordered = sorted({sentence_pattern(s) for s in [*FORMS, *sentences.values()]}, key=lambda p: (-len(p), p))
+    twice = "|".join(p.replace("(?: | ?\n ?)", "(?: | ?\n\n ?)") for p in ordered)
     table = "MAP {" + ", ".join(f"{quoted(k)}: {v}" for k, v in known.items()) + "}"
     steps, hits, last = [], [], "l"
-    for n, (licence, run) in enumerate(RULES):
-        wanted = quoted("".join(f",{i}," for i in run))
+    for n, (licence, run) in enumerate(rules):
+        wanted = quoted("".join(f",{ids[i]}," for i in run))
         steps.append(f"r{n} AS (SELECT *, CASE WHEN contains(line_{n}, {wanted}) THEN {quoted(licence)} END AS hit_{n}, replace(line_{n}, {wanted}, ',x,') AS line_{n + 1} FROM {last})")
         hits.append(f"hit_{n}")
         last = f"r{n}"
     return f"""
-WITH s AS (
-  SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '{BREAK}'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS parts FROM documents
+WITH t AS (
+  SELECT doc_id, regexp_replace(regexp_replace(translate(replace(lower(coalesce(text, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[.!?;:]([\\x20\\x09\\n])', 'X\\1', 'g'), '\\n([^a-z0-9\\n]*\\n)+', 'X' || chr(10), 'g') AS t FROM documents
+), p AS (
+  SELECT doc_id, regexp_replace(regexp_replace(t, '[^a-z0-9X\\n]+', ' ', 'g'), {quoted(HOLDER)}, '\\1the copyright holder \\2', 'g') AS t FROM t
+), s AS (
+  SELECT doc_id, regexp_extract_all(replace(replace(t, 'X', 'XX'), chr(10), chr(10) || chr(10)), {quoted("(?:^|[X\n]) ?(" + twice + ") ?(?:[X\n]|$)")}, 1) AS parts FROM p
 ), i AS (
-  SELECT doc_id, list_filter(list_transform(parts, lambda x: ({table})[x]), lambda x: x IS NOT NULL) AS ids FROM s
+  SELECT doc_id, list_filter(list_transform(parts, lambda x: ({table})[regexp_replace(x, '[ X\\n]+', ' ', 'g')]), lambda x: x IS NOT NULL) AS ids FROM s
 ), l AS (
   SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, ',' || array_to_string(ids, ',,') || ',' AS line_0 FROM i
-), {", ".join(steps)}
-SELECT doc_id, sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{", ".join(hits)}], lambda x: x IS NOT NULL))), ',') AS licenses FROM {last}
+), {", ".join(steps)}, e AS (
+  SELECT doc_id, sentence_ids, list_sort(list_distinct(list_filter([{", ".join(hits)}], lambda x: x IS NOT NULL))) AS found FROM {last}
+), f AS (
+  SELECT *, list_filter(found, lambda x: x NOT IN ({", ".join(map(quoted, LAST))})) AS first FROM e
+)
+SELECT doc_id, sentence_ids, array_to_string(CASE WHEN len(first) > 0 THEN first ELSE found END, ',') AS licenses FROM f
 """
 
 

@@ -211,3 +211,43 @@ def test_real_notices_as_they_are_wrapped(spark, text, licence):
 
     for whole in (text, f"Some prose.\n\n{text}\nMore prose."):
         assert [r["licenses"] for r in licenses.scan_licenses(documents(spark, [(1, whole, None, None)])).collect()] == [[licence]]
+
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+AGPL = GPL_3.replace("GNU General Public License as", "GNU Affero General Public License as")
+NOTICES = [MIT, APACHE, BSD_2, BSD_3, GPL_3, MPL, ISC, LGPL, AGPL, "// SPDX-License-Identifier: GPL-2.0-only\nint x;", "# SPDX-License-Identifier: Apache-2.0"]
+EXPECTED = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "MPL-2.0", "ISC", "LGPL-2.1", "AGPL-3.0", "GPL-2.0", "Apache-2.0"]
+
+
+def test_notices_wrapped_commented_and_on_one_line_in_both_engines(spark, tmp_path):
+    from llm_rows import documents
+
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "\n".join(f" * {x}" for x in t.split("\n")), lambda t: f"Prose first.\n\n{t}\n\nProse after it, and more"]
+    joined = lambda t: "\n\n".join(" ".join(x.split("\n")) for x in t.split("\n\n"))
+    texts = [form(t) for t in NOTICES for form in forms] + [joined(t) for t in NOTICES if not t.startswith(("#", "/"))]
+    wanted = [x for x in EXPECTED for _ in forms] + [x for t, x in zip(NOTICES, EXPECTED, strict=True) if not t.startswith(("#", "/"))]
+    texts += ["All rights reserved", "no licence here", "You may obtain a copy of the License at\n\n\n \nhttp", None, ""]
+    wanted += ["Proprietary", "", "", "", ""]
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op5_licenses(spark, str(tmp_path))
+    assert [r["licenses"] for r in found.orderBy("doc_id").collect()] == wanted
+    same_as_sql(found, licenses.OP5_SQL, str(tmp_path))
+
+
+def test_every_sentence_of_the_table_is_found_alone(spark):
+    from llm_rows import documents
+
+    table = licenses.SENTENCES | licenses.MORE_SENTENCES
+    rows = [(i, s, None, None) for i, s in table.items()] + [(1000 + n, s + ".", None, None) for n, s in enumerate(licenses.FORMS)]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    assert all(got[i] == [i] for i in table) and all(got[1000 + n] == [i] for n, i in enumerate(licenses.FORMS.values()))
+    assert {i for _, run in licenses.RULES + licenses.MORE_RULES for i in run} <= set(table)
