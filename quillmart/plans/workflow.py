@@ -231,11 +231,17 @@ def batch_state(spark, d):
     return last.select("user_id", "last_type", state.alias("state"))
 
 
-@query(None)
+# Fixed value: the characters that the snippets of a document may have.
+BUDGET = 3000
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?]+[ \n]+|\n+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, array_to_string(list_reduce(l, lambda a, x: {{'used': CASE WHEN a.used + length(x) <= {BUDGET} THEN a.used + length(x) ELSE a.used END, 'kept': CASE WHEN a.used + length(x) <= {BUDGET} THEN list_append(a.kept, x) ELSE a.kept END}}, {{'used': CAST(0 AS BIGINT), 'kept': CAST([] AS VARCHAR[])}}).kept, ' ') AS snippet FROM s""")
 def budgeted_snippets(spark, d):
     """Sentences of a document within a budget of characters; one that is too long is passed over, later ones may fit."""
     docs = table(spark, d, "documents").select("doc_id", X.sentences(F.coalesce("text", F.lit(""))).alias("l"))
-    return docs.select("doc_id", F.array_join(L.capped_texts(F.col("l"), 300), " ").alias("snippet"))
+    return docs.select("doc_id", F.array_join(L.capped_texts(F.col("l"), BUDGET), " ").alias("snippet"))
 
 
 @query("""
