@@ -18,6 +18,7 @@ from quillmart.llm.quality import score_quality
 from quillmart.llm.sharding import stratified_shards
 from quillmart.llm.topk import OP1_SQL, search_queries
 from quillmart.llm.toxicity import score_toxicity
+from quillmart.llm.warc import OP13_SQL, archived_pages
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +66,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(read(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(read(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_langid, op3_packing, op4_exact_dedup, op5_licenses, op6_near_dedup, op7_toxicity, op8_quality, op9_mixing, op10_sharding, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_licenses": OP5_SQL, "op6_near_dedup": OP6_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_langid, op3_packing, op4_exact_dedup, op5_licenses, op6_near_dedup, op7_toxicity, op8_quality, op9_mixing, op10_sharding, op13_warc, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_licenses": OP5_SQL, "op6_near_dedup": OP6_SQL, "op13_warc": OP13_SQL}
