@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmart.functions.durable import durable
 
-__all__ = ["durable", "free_names", "held_out", "label_sample", "rank_in_groups", "read", "source_key"]
+__all__ = ["crc32_sql", "durable", "free_names", "held_out", "label_sample", "rank_in_groups", "read", "source_key"]
 
 #: Python's and the contract's white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -71,3 +71,10 @@ def free_names(rows: DataFrame, *wanted: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression of the CRC-32 of an ASCII text, of which DuckDB has no function; null for null."""
+    bit = "lambda c, _: xor(c >> 1, 3988292384 * (c & 1))"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), {byte}), 4294967295)"
