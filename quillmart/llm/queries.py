@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmart.llm.common import read
+from quillmart.llm.conversations import OP11_SQL, damaged_and_repaired
 from quillmart.llm.exact_dedup import OP4_SQL, exact_dedup
 from quillmart.llm.langid import identify_languages
 from quillmart.llm.licenses import OP5_SQL, scan_licenses
@@ -67,6 +68,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(read(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_and_repaired(read(spark, sf_dir, "conversations"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered_manifest(read(spark, sf_dir, "documents"))
 
@@ -81,5 +86,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_langid, op3_packing, op4_exact_dedup, op5_licenses, op6_near_dedup, op7_toxicity, op8_quality, op9_mixing, op10_sharding, op12_merkle, op13_warc, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_licenses": OP5_SQL, "op6_near_dedup": OP6_SQL, "op12_merkle": OP12_SQL, "op13_warc": OP13_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_langid, op3_packing, op4_exact_dedup, op5_licenses, op6_near_dedup, op7_toxicity, op8_quality, op9_mixing, op10_sharding, op11_conversations, op12_merkle, op13_warc, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_licenses": OP5_SQL, "op6_near_dedup": OP6_SQL, "op11_conversations": OP11_SQL, "op12_merkle": OP12_SQL, "op13_warc": OP13_SQL}
