@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmart.operators.mentions import mentions, stands_alone
+
 
 def any_word(text: Column, words: list[str]) -> Column:
     """Whether the text contains one of the words; one pass of one regular expression."""
@@ -51,18 +50,10 @@ def dictionary_mentions(docs: DataFrame, key: str, text: str, words: list[str])
 
     ``start`` counts characters from 0. Only A-Z are folded, so that places are those of the text itself.
     """
-    fold = {c: c + 32 for c in range(65, 91)}
-    known = {w: re.compile(rf"(?<!\w)(?={re.escape(w)}(?!\w))") for w in sorted({w.translate(fold) for w in words})}
-
-    def of_text(t: str | None) -> list[dict]:
-        low = (t or "").translate(fold)
-        return [{"word": w, "start": m.start()} for w, p in known.items() if w in low for m in p.finditer(low)]
-
-    @F.pandas_udf("array<struct<word:string,start:int>>")
-    def mentions(texts: pd.Series) -> pd.Series:
-        return texts.map(of_text)
-
-    return docs.select(key, F.explode(mentions(text)).alias("m")).select(key, "m.word", "m.start")
+    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+    known = docs.sparkSession.createDataFrame([(w.translate({ord(a): b for a, b in zip(upper, lower, strict=True)}),) for w in words], "alias string")
+    found = mentions(docs, [key], F.translate(text, upper, lower), known, edges=True)
+    return found.where(stands_alone()).select(key, F.col("alias").alias("word"), "start")
 
 
 def best_mentions(mentions: DataFrame, key: str, owners: dict[str, str]) -> DataFrame:

@@ -131,12 +131,23 @@ def dictionary_match_longest(spark, d):
 OWNERS = {"apache": "apache", "apache license": "apache", "mit": "mit", "mit license": "mit", "gnu": "gnu", "creative commons": "cc", "cc": "cc"}
 
 
-@query()
+FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WHOLE_WORDS_SQL = f"""
+WITH w(word) AS (VALUES {", ".join(f"('{w}')" for w in ENTITIES)}), f AS (SELECT doc_id, {FOLD} AS t FROM documents),
+p AS (SELECT doc_id, t, word, string_split(t, word) AS parts FROM f, w WHERE contains(t, word)),
+u AS (SELECT doc_id, t, word, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM p),
+o AS (SELECT doc_id, t, word, i, n, sum(length(part) + length(word)) OVER (PARTITION BY doc_id, word ORDER BY i) - length(word) AS start FROM u),
+m AS (SELECT doc_id, word, CAST(start AS INTEGER) AS start FROM o WHERE i < n AND NOT (start > 0 AND regexp_matches(substring(t, CAST(start AS BIGINT), 1), '[\\p{{L}}\\p{{N}}_]')) AND NOT regexp_matches(substring(t, CAST(start AS BIGINT) + length(word) + 1, 1), '[\\p{{L}}\\p{{N}}_]'))"""
+
+
+@query(WHOLE_WORDS_SQL + " SELECT * FROM m")
 def dictionary_mentions(spark, d):
+    """Every place where a dictionary word stands as a whole word, those inside others included; only A-Z are folded."""
     return R.dictionary_mentions(docs(spark, d), "doc_id", "text", ENTITIES)
 
 
-@query()
+@query(WHOLE_WORDS_SQL + f""", e(word, entity) AS (VALUES {", ".join(map(str, OWNERS.items()))})
+SELECT doc_id, entity, word, start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity ORDER BY length(word) DESC, start, word) AS r FROM m JOIN e USING (word)) WHERE r = 1""")
 def best_entity_mention(spark, d):
     return R.best_mentions(dictionary_mentions(spark, d), "doc_id", OWNERS)
 
