@@ -192,7 +192,7 @@ def attributed(known: DataFrame, marks: DataFrame) -> DataFrame:
     basis = F.when(F.col("c").isNull() | lone, "ambiguous_review").when(F.col("c.source") == "local_text", F.when(F.col("c.match_type") == "normalized", "local_full_name").otherwise("local_alias"))
     for source, name in BASIS.items():
         basis = basis.when(F.col("c.source") == source, name)
-    confidence = F.coalesce(F.least(F.lit(MOST_CONFIDENCE), F.col("c.score")), F.lit(0))
+    confidence = F.least(F.lit(MOST_CONFIDENCE), F.coalesce(F.col("c.score"), F.lit(0)))
     return out.select("doc_id", F.col("c.entity").alias("entity"), basis.otherwise(F.col("c.source")).alias("basis"), confidence.cast("int").alias("confidence"), (F.col("c.score") - F.col("next")).cast("int").alias("margin"), (reason != "").alias("needs_review"), reason.alias("reason"))
 
 
@@ -241,7 +241,7 @@ j AS (SELECT known.doc_id, known.expected, top.entity, top.kind, top.match_type,
 q AS (SELECT *, CASE WHEN entity IS NULL THEN 'no evidence' WHEN coalesce(expected <> kind, false) THEN 'kind conflict' WHEN lone THEN 'short alias' WHEN score < {LEAST_SCORE} THEN 'low score' ELSE '' END AS reason FROM j)
 SELECT doc_id, entity, CASE WHEN entity IS NULL OR lone THEN 'ambiguous_review' WHEN source = 'local_text' THEN CASE WHEN match_type = 'normalized' THEN 'local_full_name' ELSE 'local_alias' END
   {" ".join(f"WHEN source = '{k}' THEN '{v}'" for k, v in BASIS.items())} ELSE source END AS basis,
-  CAST(coalesce(least({MOST_CONFIDENCE}, score), 0) AS INTEGER) AS confidence, CAST(score - nxt AS INTEGER) AS margin, reason <> '' AS needs_review, reason FROM q""")
+  CAST(least({MOST_CONFIDENCE}, coalesce(score, 0)) AS INTEGER) AS confidence, CAST(score - nxt AS INTEGER) AS margin, reason <> '' AS needs_review, reason FROM q""")
 def attribution(spark, d):
     """The entity of each document by nine kinds of evidence, with its margin and the reason of a review."""
     known, texts = evidence(spark, d)

@@ -82,7 +82,7 @@ def test_attribution_by_hand(spark):
     # the expected kind goes before the better score
     assert got[3] == (2, "full_text", 990, 1230 - 1520, False, "")
     # the owner of the expected kind of an ambiguous name; a short alias that nothing backs is reviewed
-    assert got[4] == (2, "ambiguous_review", 782, None, True, "short alias")
+    assert got[4] == (2, "ambiguous_review", 780, None, True, "short alias")
     assert got[5][1] == "ambiguous_review" and got[5][-1] == "short alias"
     assert got[6] == (1, "local_alias", 990, None, True, "kind conflict")
     # a brand in the subject's name: 960 + 500 against 990 + 140 + 140 + 60 + 240
