@@ -34,10 +34,10 @@ _ADD = _rng.randint(0, 2**62, COORDINATES).astype(np.uint64)
 
 
 class _Words(dict):
-    """64-bit hash of a word; emptied when it has a million words."""
+    """64-bit hash of a word; emptied when it has a hundred thousand words, some 20 MB."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 #: A blank is safe to cut before if this follows: it begins a token of its own, together with the blank.
 _SAFE = re.compile(r"[!-~\w]")
 _CUT = re.compile(r"(?= [!-~\w])")
-#: Words that are remembered, at some 200 bytes each.
-_MOST_KNOWN = 1_000_000
+#: Words that are remembered, at some 200 bytes each; workers keep them for later stages.
+_MOST_KNOWN = 250_000
 #: Bytes of text that are encoded at a time.
 _PORTION = 8 << 20
 _tokenizers: dict[tuple[str, int], Encoder] = {}
