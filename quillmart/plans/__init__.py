@@ -1,4 +1,4 @@
 """The query catalogue."""
 
-from quillmart.plans import attribution, canonical, coverage, intake, mart, merging, names, resolution, screening, texts, workflow  # noqa: F401
+from quillmart.plans import attribution, canonical, coverage, intake, mart, merging, names, queueing, resolution, screening, texts, workflow  # noqa: F401
 from quillmart.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
