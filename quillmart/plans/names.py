@@ -25,17 +25,14 @@ RAW = "CASE p_partkey % 4 WHEN 0 THEN 'New ' || p_brand || ' ' || p_name WHEN 1
 
 def _normal_sql(c: str) -> str:
     text = f"trim(regexp_replace(regexp_replace(translate({c}, '\"''`‘’“”', ''), '[·•\\[\\]{{}}()<>]', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
-    for alias in N.alias_variants(RULES):
-        text = f"regexp_replace({text}, '{re.escape(alias)}', ' ', 'gi')"
+    text = f"regexp_replace({text}, '{N.owner_pattern(RULES)}', ' ', 'gi')"
     lead = "|".join(RULES.lead_words)
     return f"regexp_replace(regexp_replace(trim(regexp_replace({text}, ' +', ' ', 'g')), '^(?:(?:{lead})[ ,:]+){{1,3}}', '', 'i'), '^[ _/.,-]+|[ _/.,-]+$', '', 'g')"
 
 
 def _core_sql(c: str) -> str:
     text = f"translate(regexp_replace(regexp_replace(lower({c}), '([0-9])\\.([0-9])', '\\1§\\2', 'g'), '[^\\p{{L}}\\p{{N}}§]+', '', 'g'), '§', '.')"
-    for alias in N.alias_variants(RULES):
-        text = f"replace({text}, '{re.sub('[^a-z0-9]+', '', alias.lower())}', '')"
-    return text
+    return f"regexp_replace({text}, '{N.owner_pattern(RULES, False)}', '', 'gi')"
 
 
 NAMES_SQL = f"WITH r AS (SELECT p_partkey, p_type, {RAW} AS raw FROM part), n AS (SELECT *, {_normal_sql('raw')} AS normal FROM r), k AS (SELECT *, {_core_sql('normal')} AS core FROM n)"

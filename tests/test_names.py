@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillmart.functions import names as N
@@ -9,8 +11,13 @@ from quillmart.functions import names as N
 RULES = N.NameRules(aliases=("Acme Works", "Acme"), stem_suffixes=("Works",), lead_words=("new", "the"), strip_before=("my", "super"), strip_after=("plan", "plus"), fragments=("andthen",), weak=("plan",))
 
 
-def test_alias_variants_longest_first():
-    assert N.alias_variants(RULES) == ["Acme Works", "AcmeWorks", "Acme"]
+def test_owner_pattern_takes_names_with_and_without_blanks_and_suffix():
+    found = lambda text, **also: re.findall(f"(?i){N.owner_pattern(RULES, **also)}", text)
+    assert found("Acme Works, ACMEWORKS and acme wo") == ["Acme Works", "ACMEWORKS", "acme "] and found("acmeworks1acme", blanks=False) == ["acmeworks", "acme"]
+    assert re.findall(N.owner_pattern(N.NameRules()), "any text") == []
+    # a suffix is part of the name where fewer than two characters would stay
+    short = N.NameRules(aliases=("X.Co", "Co"), stem_suffixes=("Co",))
+    assert re.findall(N.owner_pattern(short), "X.Co X. Co C") == ["X.Co", "X.", "Co"]
 
 
 def test_normal_names_and_cores(spark):
