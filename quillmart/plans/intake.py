@@ -123,7 +123,9 @@ def verdict_tree(spark, d):
     return found.groupBy("event_id").agg(F.count(F.lit(1)).alias("checks"), right.alias("supported"), (right / F.count(F.lit(1))).alias("confidence"), F.array_join(F.array_sort(F.collect_list(F.concat("path", F.lit("="), "value"))), ";").alias("found"))
 
 
-@query("SELECT o_orderkey, o_orderdate AS at FROM orders")
+@query("""
+SELECT o_orderkey, strptime(regexp_extract(said, ', ([0-9]{2} [A-Za-z]{3} [0-9]{4} [0-9:]{8})', 1), '%d %b %Y %H:%M:%S') AS at
+FROM (SELECT o_orderkey, strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S') || CASE WHEN o_orderkey % 2 = 0 THEN ' +0900' ELSE ' GMT' END AS said FROM orders)""")
 def rfc_dates(spark, d):
     """Dates written as RFC 2822 text with a zone, read as the wall clock they show."""
     said = F.concat(F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss"), F.when(F.col("o_orderkey") % 2 == 0, " +0900").otherwise(" GMT"))

@@ -262,13 +262,13 @@ pairs AS (SELECT a.o_orderkey AS left_id, b.o_orderkey AS right_id FROM orders a
 
 def near_month_pairs(spark, d):
     """Pairs within a block of customer and priority, at most three months apart. Months bucket by four, so each row
-    meets its own bucket and the next, and no block is compared as a whole."""
+    meets its own bucket and the next, every pair in one of them, and no block is compared as a whole."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", X.months(F.date_format("o_orderdate", "yyyy-MM")).alias("m"))
     cell = F.floor(F.col("m") / 4)
     a = orders.select(F.col("o_orderkey").alias("x"), "o_custkey", "o_orderpriority", F.col("m").alias("mx"), F.explode(F.array(cell, cell + 1)).alias("cell"), cell.alias("own_x"))
     b = orders.select(F.col("o_orderkey").alias("y"), "o_custkey", "o_orderpriority", F.col("m").alias("my"), cell.alias("cell"))
     met = a.join(b, ["o_custkey", "o_orderpriority", "cell"]).where((F.abs(F.col("mx") - F.col("my")) <= 3) & ((F.col("cell") > F.col("own_x")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y"))))
-    return met.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).distinct()
+    return met.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"))
 
 
 @query("WITH " + PAIRS_SQL + " SELECT left_id, right_id FROM pairs")
@@ -336,7 +336,7 @@ def stream_dedup_counts(spark, d):
     from quillmart.streaming.ingest import ingest_events
 
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    rows = ingest_events(spark, d, "events.parquet", schema, "2024-01-05", "2024-06-20", "400 days")
+    rows = ingest_events(spark, d, "events.parquet", schema, "2024-01-05", "2024-06-20", "6 hours")
     return rows.groupBy("event_type").agg(F.count_distinct("event_id").alias("n"), F.max("value").alias("largest"))
 
 
@@ -352,12 +352,15 @@ def stream_window_counts(spark, d):
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "largest")
 
 
-@query("SELECT strftime(range, '%Y-%m-%d') AS first_day, strftime(least(range + INTERVAL 1 MONTH - INTERVAL 1 DAY, DATE '2024-05-20'), '%Y-%m-%d') AS last_day FROM range(DATE '2023-11-01', DATE '2024-05-02', INTERVAL 1 MONTH)")
+@query("""
+WITH s AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last FROM orders GROUP BY o_custkey),
+m AS (SELECT o_custkey, first, last, unnest(generate_series(date_trunc('month', first), date_trunc('month', last), INTERVAL 1 MONTH)) AS m FROM s)
+SELECT o_custkey, strftime(greatest(m, first), '%Y-%m-%d') AS first_day, strftime(least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, last), '%Y-%m-%d') AS last_day FROM m""")
 def month_ranges(spark, d):
-    """Calendar months clipped to a range, here 2023-11-01 to 2024-05-20."""
-    first, last = F.lit("2023-11-01").cast("date"), F.lit("2024-05-20").cast("date")
-    rows = spark.range(1).select(F.explode(F.sequence(F.trunc(first, "MM"), last, F.expr("interval 1 month"))).alias("m"))
-    return rows.select(F.date_format(F.greatest("m", first), "yyyy-MM-dd").alias("first_day"), F.date_format(F.least(F.last_day("m"), last), "yyyy-MM-dd").alias("last_day"))
+    """The calendar months in which a customer may have ordered, clipped to the first and the last order."""
+    span = table(spark, d, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"))
+    rows = span.select("o_custkey", "first", "last", F.explode(F.sequence(F.trunc("first", "MM"), F.trunc("last", "MM"), F.expr("interval 1 month"))).alias("m"))
+    return rows.select("o_custkey", F.date_format(F.greatest("m", "first"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.least(F.last_day("m"), "last"), "yyyy-MM-dd").alias("last_day"))
 
 
 @query()

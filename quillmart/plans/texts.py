@@ -57,21 +57,23 @@ def sentence_split_count(spark, d):
     return docs(spark, d).select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
 
 
-@query("""
-SELECT p_partkey, CAST(floor(p_size * 1.5 * CASE p_size % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1 END) AS BIGINT) AS amount FROM part""")
+@query(r"""
+SELECT doc_id, CAST(floor(TRY_CAST(replace(regexp_extract(low, '([0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', '') AS DECIMAL(20, 4)) *
+  CASE regexp_extract(low, '[0-9][0-9,.]*\s*(thousand|million|billion)', 1) WHEN 'thousand' THEN 1000 WHEN 'million' THEN 1000000 WHEN 'billion' THEN 1000000000 ELSE 1 END) AS BIGINT) AS amount
+FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)""")
 def amount_parse(spark, d):
-    unit = F.element_at(F.array(F.lit(" thousand"), F.lit(" million"), F.lit("")), (F.col("p_size") % 3 + 1).cast("int"))
-    said = F.concat(F.lit("up to "), F.format_number(F.col("p_size") * 1.5, 1), unit, F.lit(" each, 2 times"))
-    return table(spark, d, "part").select("p_partkey", X.amount(said).alias("amount"))
+    """The first amount that a document names; null without one."""
+    return docs(spark, d).select("doc_id", X.amount(F.col("text")).alias("amount"))
 
 
-@query("""
-SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m') WHEN 1 THEN strftime(o_orderdate - INTERVAL 1 MONTH, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m') END AS month
-FROM (SELECT o_orderkey, o_orderdate + INTERVAL 20 YEAR AS o_orderdate FROM orders)""")
+@query(r"""
+SELECT doc_id, CASE WHEN regexp_extract(text, '(20[0-9]{2})[-./ ]?(0[1-9]|1[0-2])', 1) <> '' THEN regexp_extract(text, '(20[0-9]{2})[-./ ]?(0[1-9]|1[0-2])', 1) || '-' || regexp_extract(text, '(20[0-9]{2})[-./ ]?(0[1-9]|1[0-2])', 2)
+  WHEN contains(lower(text), 'last month') THEN strftime(said - INTERVAL 1 MONTH, '%Y-%m') WHEN contains(lower(text), 'this month') THEN strftime(said, '%Y-%m') END AS month
+FROM (SELECT doc_id, coalesce(text, '') AS text, DATE '2024-01-31' + CAST(doc_id % 365 AS INTEGER) AS said FROM documents)""")
 def yearmonth_parse(spark, d):
-    at = F.expr("o_orderdate + interval 20 year")
-    said = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(at, "'sold on 'yyyy.MM.dd")).when(F.col("o_orderkey") % 3 == 1, "sold last month").otherwise("sold this month")
-    return table(spark, d, "orders").select("o_orderkey", X.year_month(said, at).alias("month"))
+    """The first month that a document names, or means by this or last month; documents are dated by their id."""
+    at = F.expr("date_add(DATE'2024-01-31', CAST(doc_id % 365 AS INT))")
+    return docs(spark, d).select("doc_id", X.year_month(F.col("text"), at).alias("month"))
 
 
 @query("SELECT doc_id, array_to_string(list_distinct_ordered, ',') AS versions FROM (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(v[0-9]+|[0-9]+\\.[0-9]+)', 1) AS l FROM documents))".replace("\\\\", "\\"))

@@ -36,19 +36,24 @@ def canonical_hop(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name")
     target = part.select(F.col("p_partkey").alias("target"), F.col("p_name").alias("target_name"))
     own = part.withColumn("target", F.when(F.col("p_partkey") % 7 == 0, F.col("p_partkey") + 1))
-    hop = own.join(target.withColumn("hit", F.lit(True)), "target", "left")
-    return hop.select("p_partkey", F.when(F.col("hit"), F.col("target")).otherwise(F.col("p_partkey")).alias("shown_key"), F.coalesce("target_name", "p_name").alias("shown_name"))
+    # parts without a target need no join; as null keys they would all meet in one task
+    hop = own.where("target IS NOT NULL").join(target.withColumn("hit", F.lit(True)), "target", "left")
+    out = hop.select("p_partkey", F.when(F.col("hit"), F.col("target")).otherwise(F.col("p_partkey")).alias("shown_key"), F.coalesce("target_name", "p_name").alias("shown_name"))
+    return out.unionByName(own.where("target IS NULL").select("p_partkey", F.col("p_partkey").alias("shown_key"), F.col("p_name").alias("shown_name")))
 
 
 @query("""
 SELECT event_id, coalesce(c_name, s_name) AS target FROM events LEFT JOIN customer ON event_type IN ('click', 'view') AND c_custkey = user_id
 LEFT JOIN supplier ON event_type NOT IN ('click', 'view') AND s_suppkey = user_id""")
 def conditional_scope_join(spark, d):
-    """The table that an event points into depends on its type: two equi-joins on keys that are null for the other kind."""
-    seen = F.col("event_type").isin("click", "view")
-    rows = table(spark, d, "events").select("event_id", F.when(seen, F.col("user_id")).alias("c_custkey"), F.when(~seen, F.col("user_id")).alias("s_suppkey"))
-    found = rows.join(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", "left").join(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "left")
-    return found.select("event_id", F.coalesce("c_name", "s_name").alias("target"))
+    """The table that an event points into depends on its type: each kind of event is joined with its own table only."""
+    seen = F.coalesce(F.col("event_type").isin("click", "view"), F.lit(False))
+    events = table(spark, d, "events").select("event_id", "event_type", "user_id")
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("target"))
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("target"))
+    of_customers = events.where(seen).join(customers, "user_id", "left")
+    of_suppliers = events.where(~seen).join(suppliers, "user_id", "left")
+    return of_customers.unionByName(of_suppliers).select("event_id", "target")
 
 
 @query("""

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmart.functions.durable import durable
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -43,15 +45,22 @@ def rfc_timestamp(text: F.Column) -> F.Column:
     return F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
 
 
-PAYLOAD = "products array<struct<name string, company string, release_ym string, type_code string, coverages array<struct<name string, max_amount bigint>>, metrics array<struct<name string, value double, unit string>>>>"
+PAYLOAD = (
+    "products array<struct<name string, company string, release_ym string, type_code string, coverages array<struct<name string, max_amount bigint>>, metrics array<struct<name string, value double, unit string>>, "
+    "features array<struct<channel string, notification string>>, insights array<struct<summary string>>, partners array<struct<name string, role string>>>>"
+)
 
 
 def payload_tables(df: DataFrame, key: str, column: str) -> dict[str, DataFrame]:
-    """Nested JSON payloads as product, coverage and metric rows; malformed payloads give no rows."""
+    """Nested JSON payloads as six tables: product, coverage, metric, feature, insight, partner, each row with its place.
+
+    Malformed payloads give no rows, neither do missing arrays; a value of a wrong type is null.
+    """
     parsed = df.select(key, F.from_json(column, PAYLOAD).alias("p"))
     products = parsed.select(key, F.posexplode("p.products").alias("product_no", "product"))
     child = lambda name: products.select(key, "product_no", F.posexplode(f"product.{name}").alias("item_no", "item")).select(key, "product_no", "item_no", "item.*")
-    return {"product": products.select(key, "product_no", "product.name", "product.company", "product.release_ym", "product.type_code"), "coverage": child("coverages"), "metric": child("metrics")}
+    own = products.select(key, "product_no", "product.name", "product.company", "product.release_ym", "product.type_code")
+    return {"product": own} | {name: child(f"{name}s") for name in ("coverage", "metric", "feature", "insight", "partner")}
 
 
 def office_csv_out(df: DataFrame, path: str) -> None:
@@ -93,19 +102,20 @@ def first_number(c: F.Column) -> F.Column:
     return F.nullif(F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), r"[-+]?[0-9]+(\.[0-9]+)?", 0), F.lit("")).try_cast("double")
 
 
-def tree_values(df: DataFrame, key: str, column: str, name: str, depth: int = 8) -> DataFrame:
-    """(key, path, value) of every field called ``name`` in a JSON tree, objects and arrays alike, to a depth.
+def tree_values(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """(key, path, value) of every field called ``name`` in a JSON tree of any depth, objects and arrays alike.
 
-    Each level explodes the one before it as variants, so nothing but rows that have children goes on.
+    Each level explodes the one before it as variants, and is written, so that no level is read twice; the search ends
+    with the first level that has no rows.
     """
-    level = df.select(key, F.lit("$").alias("path"), F.try_parse_json(column).alias("node"))
-    found = None
-    for _ in range(depth):
+    level = df.select(key, F.lit("$").alias("path"), F.try_parse_json(column).alias("node")).where("node IS NOT NULL")
+    found = []
+    while True:
         child = "SELECT k, path, e.key AS name, e.pos AS pos, e.value AS node FROM level, LATERAL variant_explode(node) AS e"
         rows = level.sparkSession.sql(child.replace("k,", f"{key},").replace("level", "{level}"), level=level)
         path = F.concat("path", F.when(F.col("name").isNotNull(), F.concat(F.lit("."), "name")).otherwise(F.concat(F.lit("["), "pos", F.lit("]"))))
-        rows = rows.select(key, path.alias("path"), "name", "node")
-        here = rows.where(F.col("name") == name).select(key, "path", F.expr("try_variant_get(node, '$', 'string')").alias("value"))
-        found = here if found is None else found.unionByName(here)
+        rows = durable(rows.select(key, path.alias("path"), "name", "node"))
+        found.append(rows.where(F.col("name") == name).select(key, "path", F.expr("try_variant_get(node, '$', 'string')").alias("value")))
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, found).where("value IS NOT NULL")
         level = rows.select(key, "path", "node")
-    return found.where("value IS NOT NULL")

@@ -5,27 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-import pytest
-
 from quillmart.sources import files
-from quillmart.sources.paged import PagedSource
-
-
-@pytest.mark.parametrize(("rows", "size"), [(0, 100), (1, 100), (100, 100), (230, 100), (230, 7)])
-def test_paged_source_reads_every_result_once(spark, tmp_path, rows, size):
-    path = tmp_path / "results.jsonl"
-    path.write_text("".join(json.dumps({"title": f"t{i}", "link": None}) + "\n" for i in range(1, rows + 1)), "utf-8")
-    spark.dataSource.register(PagedSource)
-    got = spark.read.format("quillmart_paged").option("path", str(path)).option("pageSize", size).load().collect()
-    assert sorted((r.item_no, r.title, r.link) for r in got) == [(i, f"t{i}", None) for i in range(1, rows + 1)]
-
-
-def test_paged_source_keeps_to_the_limits(spark, tmp_path):
-    path = tmp_path / "results.jsonl"
-    path.write_text("".join(json.dumps({"title": str(i)}) + "\n" for i in range(1, 1301)), "utf-8")
-    spark.dataSource.register(PagedSource)
-    got = spark.read.format("quillmart_paged").option("path", str(path)).option("pageSize", 500).load()
-    assert got.count() == 1000
 
 
 def test_office_csv_is_read_back_as_a_dictionary(spark, tmp_path):
