@@ -1,4 +1,4 @@
 """The query catalogue."""
 
-from quillmart.plans import attribution, blocking, canonical, coverage, exchange, intake, mart, merging, names, queueing, resolution, screening, texts, workflow  # noqa: F401
+from quillmart.plans import attribution, blocking, canonical, coverage, events, exchange, intake, mart, merging, names, queueing, resolution, screening, subjects, texts, workflow  # noqa: F401
 from quillmart.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
