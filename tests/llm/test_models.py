@@ -163,6 +163,83 @@ def test_ftrl_makes_sparse_weights():
     assert by[7] > 0 and len(used) < 1000 and by[7] == max(v for k, v in by.items() if k != toxicity.WIDTH)
 
 
+def plain_ftrl(examples):
+    """The update of every weight on its own, in plain Python."""
+    rows = {}
+    for x, _ in examples:
+        for i in x.tolist():
+            rows[i] = rows.get(i, 0) + 1
+    l1 = max(1.0, toxicity.L1_PER_THOUSAND * len(examples) / 1000)
+    ones = sum(y for _, y in examples)
+    rare = max(1.0, ((len(examples) - ones) / ones) ** toxicity.RARE_POWER) if ones else 1.0
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for x, y in examples:
+            used = [*(i for i in x.tolist() if rows[i] >= min(toxicity.LEAST_ROWS, len(examples))), toxicity.WIDTH]
+            w = {i: weight(i) for i in used}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values())))))
+            g = (p - y) * (rare if y else 1.0)
+            for i in used:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if abs(z[i]) > l1}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ftrl_weights_equal_plain_python(seed):
+    rng = np.random.default_rng(seed)
+    examples = [(np.unique(np.append(rng.integers(0, 300, rng.integers(0, 25)), 5 if i % 4 == 0 else 6)), int(i % 4 == 0 or rng.random() < 0.05)) for i in range(250)]
+    used, weights = toxicity.learn(examples)
+    wanted = plain_ftrl(examples)
+    assert set(used.tolist()) == set(wanted)
+    assert np.allclose(weights, [wanted[i] for i in used.tolist()], rtol=1e-9, atol=1e-12)
+
+
+def test_toxicity_weights_and_scores_equal_plain_python(spark, sf_dir, monkeypatch):
+    """The fitted weights and every score again, from the texts alone, with features in parts and passes re-read."""
+    monkeypatch.setattr(toxicity, "PASSES", 3)
+    docs, marks = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    from pyspark.sql import functions as F
+
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in marks.collect() if r["toxic"] in (0, 1) and not held(r["doc_id"], 5, 0)}
+    order = [r["doc_id"] for r in docs.select("doc_id").orderBy(F.xxhash64(F.lit(5), "doc_id")).collect() if r["doc_id"] in truth]
+    wanted = plain_ftrl([(toxicity.features(text[i]), truth[i]) for i in order])
+    used, weights = toxicity.fit_toxicity(docs, marks)
+    assert set(used.tolist()) == set(wanted) and np.allclose(weights, [wanted[i] for i in used.tolist()], rtol=1e-9)
+    for r in toxicity.score_toxicity(docs, marks).collect():
+        total = sum(wanted.get(i, 0.0) for i in toxicity.features(text[r["doc_id"]]).tolist()) + wanted.get(toxicity.WIDTH, 0.0)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-5)
+
+
+def test_learning_memory_does_not_grow_with_the_texts():
+    """A thousand examples of 60,000 features, 240 MB a pass, read in parts: the learner stays far below that."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        rng = np.random.default_rng(0)
+        for turn in (0, 1):
+            for row in range(1000):
+                found = np.unique(rng.integers(0, toxicity.WIDTH, 60_000)).astype("<i4")
+                parts = [found[k : k + toxicity.PART].tobytes() for k in range(0, len(found), toxicity.PART)]
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(parts)) for v in (turn, row, row, row % 2)] + [pa.array(parts, pa.binary())], names=["turn", "at", "row", "y", "x"])
+
+    tracemalloc.start()
+    (out,) = toxicity._learned(batches())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows > 0 and peak < 160e6, peak
+
+
 def test_good_documents_keep_their_columns(spark, edge):
     wide = with_clashes(edge)
     kept = quality.good_documents(wide, labels(spark, [(1, 1, 0), (6, 0, 0)]))
