@@ -363,7 +363,25 @@ def month_ranges(spark, d):
     return rows.select("o_custkey", F.date_format(F.greatest("m", "first"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.least(F.last_day("m"), "last"), "yyyy-MM-dd").alias("last_day"))
 
 
-@query()
+#: The longest common run of two names, then those on either side of it, and so on: letters in runs, twice, over all letters.
+RATIO_SQL = """
+sg AS (
+  SELECT x, y, 0 AS alo, length(x) AS ahi, 0 AS blo, length(y) AS bhi, 0 AS m FROM lt
+  UNION ALL
+  SELECT x, y, CASE part WHEN 0 THEN alo ELSE i + k END, CASE part WHEN 0 THEN i ELSE ahi END, CASE part WHEN 0 THEN blo ELSE j + k END, CASE part WHEN 0 THEN j ELSE bhi END, CASE part WHEN 0 THEN k ELSE 0 END
+  FROM (SELECT *, -best.k AS k, best.i AS i, best.j AS j FROM (
+    SELECT x, y, alo, ahi, blo, bhi, list_min(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: {'k': -list_max(list_filter(range(0, least(ahi - i, bhi - j) + 1), lambda k: x[i + 1:i + k] = y[j + 1:j + k])), 'i': i, 'j': j})))) AS best
+    FROM sg WHERE alo < ahi AND blo < bhi)) f, (VALUES (0), (1)) v(part) WHERE k > 0),
+ra AS (SELECT x, y, 2 * sum(m) / (length(x) + length(y)) AS ratio FROM sg GROUP BY x, y)"""
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT p_brand, p_type, p_size, p_name, min(p_partkey) AS id, count(*) AS members FROM part GROUP BY ALL),
+p AS MATERIALIZED (SELECT a.id AS left_id, b.id AS right_id, a.members AS left_members, b.members AS right_members, a.p_name AS x, b.p_name AS y FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.id < b.id),
+lt AS MATERIALIZED (SELECT DISTINCT x, y FROM p WHERE NOT contains(x, y) AND NOT contains(y, x)), {RATIO_SQL},
+w AS (SELECT *, list_filter(string_split(x, ' '), lambda c: c <> '') AS s, list_filter(string_split(y, ' '), lambda c: c <> '') AS t FROM p LEFT JOIN ra USING (x, y))
+SELECT left_id, right_id, left_members, right_members, CASE WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN greatest(0.82, least(length(x), length(y)) / greatest(length(x), length(y)))
+  ELSE greatest(ratio, len(list_intersect(s, t)) / len(list_distinct(list_concat(s, t)))) END AS similarity FROM w""")
 def name_similarity_difflib(spark, d):
     """Different names of one block of brand, type and size, compared pairwise; ids are the smallest of a name.
 
