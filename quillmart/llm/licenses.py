@@ -81,8 +81,8 @@ MORE_RULES = [
 LAST = ["Proprietary"]
 #: A sentence of the scan ends at . ! ? ; : before white space, or at a line without a letter or digit.
 END = r"[.!?;:](?=[\x20\x09\n])|\n[^a-z0-9\n]*(?=\n)"
-#: The holder's name in the third clause of BSD.
-HOLDER = r"(neither[ \n]+the[ \n]+name[ \n]+of[ \n]+)(?:[a-z0-9]+[ X\n]+){1,20}?(nor[ \n]+the[ \n]+names[ \n]+of[ \n]+its[ \n]+contributors)"
+#: The holder's name in the third clause of BSD, of any number of words.
+HOLDER = r"(neither[ \n]+the[ \n]+name[ \n]+of[ \n]+)[a-z0-9X \n]+?[ X\n](nor[ \n]+the[ \n]+names[ \n]+of[ \n]+its[ \n]+contributors)"
 
 
 def normal_sentence(sentence: Column) -> Column:

@@ -200,6 +200,7 @@ MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
         (BSD_2, "BSD-2-Clause"),
         (BSD_3, "BSD-3-Clause"),
         (BSD_3.replace("the copyright holder", "Some Inc."), "BSD-3-Clause"),
+        (BSD_3.replace("the copyright holder", "The Regents of the University, " + "its many partners and " * 40 + "others"), "BSD-3-Clause"),
         (GPL_3, "GPL-3.0"),
         (GPL_3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"), "GPL-2.0"),
         (MPL, "MPL-2.0"),
