@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def compact_spaces(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-
-
 def search_key(c: Column) -> Column:
     """Lower case without blanks and punctuation."""
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")

@@ -17,22 +17,6 @@ def chunked(df: DataFrame, keys: list[str], order: list[Column], size: int) -> D
     return df.withColumn("chunk", F.floor(place / size).cast("int"))
 
 
-def within_budget(items: Column, lengths: Column, budget: int) -> Column:
-    """Items of an array whose running length stays in the budget; one that does not fit is skipped, later ones may."""
-    start = F.struct(F.lit(0).alias("used"), F.transform(F.slice(items, 1, 0), lambda x: x).alias("kept"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        fits = acc["used"] + pair["n"] <= budget
-        return F.struct(F.when(fits, acc["used"] + pair["n"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.array_append(acc["kept"], pair["x"])).otherwise(acc["kept"]).alias("kept"))
-
-    return F.aggregate(F.zip_with(items, lengths, lambda x, n: F.struct(x.alias("x"), n.cast("int").alias("n"))), start, step)["kept"]
-
-
-def first_arrivals(df: DataFrame, key: str, arrival: list[Column]) -> DataFrame:
-    """Exact dedup: the first row of each key in order of arrival."""
-    return best_per_group(df, [key], arrival)
-
-
 def merged_on_key(old: DataFrame, new: DataFrame, key: str, latest: list[str], largest: list[str], count: str) -> DataFrame:
     """Upsert: new values over old where filled, the larger of some, counts added; both sides unique by key."""
     n = new.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in [*latest, *largest, count]])

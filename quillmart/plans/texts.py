@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillmart.functions import text as X
 from quillmart.operators import cost as C
 from quillmart.operators import rules as R
-from quillmart.operators.rows import best_per_group, first_arrivals
+from quillmart.operators.rows import best_per_group
 from quillmart.plans.registry import query
 from quillmart.sources.files import table
 
@@ -133,6 +133,24 @@ def dictionary_match_longest(spark, d):
 OWNERS = {"apache": "apache", "apache license": "apache", "mit": "mit", "mit license": "mit", "gnu": "gnu", "creative commons": "cc", "cc": "cc"}
 
 
+#: Quotation marks and the plain ones in their place, as SQL texts.
+MARKS, PLAIN = "'“”«»‘’'", "repeat(chr(34), 4) || repeat(chr(39), 2)"
+_entities = "t"
+for _entity, _sign in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+    _entities = f"replace({_entities}, '{_entity}', {_sign})"
+
+
+@query(rf"""
+SELECT page_id, trim(regexp_replace(translate(nfc_normalize({_entities}), {MARKS}, {PLAIN}), '\s+', ' ', 'g')) AS title
+FROM (SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS t FROM pages)""")
+def base_titles(spark, d):
+    """Titles of pages as plain text: entities resolved, compatibility characters composed, quotation marks made plain."""
+    from quillmart.functions.udfs import base_text
+
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), "<title>([^<]*)</title>", 1)
+    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(base_text(title), r"(?U)\s+", " ")).alias("title"))
+
+
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WHOLE_WORDS_SQL = f"""
 WITH w(word) AS (VALUES {", ".join(f"('{w}')" for w in ENTITIES)}), f AS (SELECT doc_id, {FOLD} AS t FROM documents),
