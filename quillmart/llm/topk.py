@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmart.llm.common import durable
+
 #: Rows of a block of candidates and of a block of queries that meet in one task.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 2048
 #: Segments of the resolutions, coarse to fine; one with more segments than half the components is left out.
@@ -220,7 +222,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     vectors of their own length; empty vectors score 0. Scores outside 64 bits are held to the range. No usable row
     gives no rows.
     """
-    vectors = vectors.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
+    # written once: two counts, the pilot and the search read it
+    vectors = durable(vectors.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies")))
     numbered = queries.select("vec_id", "v").distinct().withColumn("query_no", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")))
     n, m = vectors.count(), numbered.count()
     pilot = _pilot(vectors)
