@@ -50,9 +50,10 @@ def rank_in_groups(rows: DataFrame, group: str, order: list[Column], seed: int,
 
     A group is dealt over ``buckets`` hash buckets. Row counts of the buckets are summed before they move, the sums
     in front of a bucket are its offset, and rows are numbered inside one bucket only, so a group that holds a third
-    of all rows is spread like any other. ``order[0]`` seeds the shuffle; all of ``order`` break ties.
+    of all rows is spread like any other. All of ``order`` seeds the shuffle, so rows with one id, or none, are spread
+    as well where anything else tells them apart.
     """
-    shuffled = F.xxhash64(F.lit(seed), order[0])
+    shuffled = F.xxhash64(F.lit(seed), *order)
     keyed = rows.withColumn("_h", shuffled).withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
     counts = keyed.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
