@@ -61,3 +61,25 @@ def candidate_names(texts: DataFrame, key: str, text: str, quoted: str, unquoted
     best = Window.partitionBy(key, "_k").orderBy(F.desc("confidence"), "place")
     ranked = rows.withColumn("_k", squeezed).where("_k <> ''").withColumn("_n", F.row_number().over(best))
     return ranked.where("_n = 1").select(key, "name", "confidence")
+
+
+def templated(texts: DataFrame, key: str, text: str, phrases: DataFrame) -> DataFrame:
+    """(key, replaced, text): phrases replaced by their templates; of those that begin at one place the longest, and what
+    it covers begins no other.
+
+    ``phrases`` is (keyword, template), one template a keyword. Texts without a phrase stay as they are.
+    """
+    found = mentions(texts, [key], text, phrases.select(F.col("keyword").alias("alias"))).join(phrases.withColumnRenamed("keyword", "alias"), "alias")
+    hit = F.struct(F.col("start"), (-F.char_length("alias")).alias("l"), F.col("template"))
+    hits = found.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
+    rows = texts.select(key, F.col(text).alias("_text")).join(hits, F.col(key) == F.col("_key"), "left")
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"), F.lit(0).alias("n"))
+
+    def step(done: Column, x: Column) -> Column:
+        between = F.substring(F.col("_text"), done["at"] + 1, x["start"] - done["at"])
+        put = F.struct((x["start"] - x["l"]).alias("at"), F.concat(done["parts"], F.array(between, x["template"])).alias("parts"), (done["n"] + 1).alias("n"))
+        return F.when(x["start"] >= done["at"], put).otherwise(done)
+
+    rest = lambda done: F.struct(done["n"].alias("n"), F.concat(F.array_join(done["parts"], ""), F.substring(F.col("_text"), done["at"] + 1, F.char_length("_text"))).alias("text"))
+    filled = rows.withColumn("_f", F.when(F.col("_hits").isNotNull(), F.aggregate("_hits", start, step, rest)))
+    return filled.select(key, F.coalesce("_f.n", F.lit(0)).alias("replaced"), F.coalesce("_f.text", "_text").alias("text"))

@@ -91,3 +91,18 @@ SELECT doc_id, name, confidence FROM (SELECT *, row_number() OVER (PARTITION BY
 def scored_candidates(spark, d):
     """Names that a document puts in quotation marks or begins a sentence with, once each, with their confidence."""
     return T.candidate_names(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "doc_id", "t", QUOTED, UNQUOTED)
+
+
+@query(f"""
+WITH {RULES_SQL}, {_docs_sql}, {_hits_sql("t").replace("min(p - 1) AS first", "min(p - 1) AS first, list(p - 1) AS places")},
+ph AS (SELECT keyword, '<' || min(label) || '>' AS template FROM rules GROUP BY keyword),
+o AS (SELECT DISTINCT doc_id, keyword, unnest(places) AS start FROM hits),
+l AS (SELECT doc_id, list({{'s': start, 'l': -length(keyword), 'w': template}} ORDER BY start, -length(keyword)) AS x FROM o JOIN ph USING (keyword) GROUP BY doc_id),
+f AS (SELECT t.doc_id, t.t, list_reduce(list_prepend({{'a': CAST(0 AS BIGINT), 'p': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT)}}, list_transform(x, lambda h: {{'a': CAST(h.s AS BIGINT), 'p': [h.w], 'n': CAST(-h.l AS BIGINT)}})),
+  lambda d, h: CASE WHEN h.a >= d.a THEN {{'a': h.a + h.n, 'p': list_concat(d.p, [substring(t.t, d.a + 1, h.a - d.a), h.p[1]]), 'n': d.n + 1}} ELSE d END) AS r FROM t JOIN l USING (doc_id))
+SELECT t.doc_id, CAST(coalesce(r.n, 0) AS INTEGER) AS replaced, CASE WHEN r IS NULL THEN t.t ELSE array_to_string(r.p, '') || substring(t.t, r.a + 1, length(t.t)) END AS text FROM t LEFT JOIN f USING (doc_id)""")
+def templated_texts(spark, d):
+    """Documents with the keywords of the rule table replaced by their class, longest first."""
+    docs = table(spark, d, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    phrases = rules(spark, d).groupBy("keyword").agg(F.concat(F.lit("<"), F.min("label"), F.lit(">")).alias("template"))
+    return T.templated(docs, "doc_id", "t", phrases)

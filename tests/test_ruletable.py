@@ -61,3 +61,19 @@ def test_filters_without_value_do_not_filter(spark):
 @pytest.mark.parametrize(("limit", "held"), [(None, 20), (0, 1), (-3, 1), (7, 7), (50, 50), (500, 50)])
 def test_limits_are_held(limit, held):
     assert bounded(limit, 50, 20) == held
+
+
+def test_templates_longest_first_and_without_overlap(spark):
+    phrases = [("new", "N"), ("new york", "NY"), ("york city", "YC"), ("aa", "2"), ("é", "e")]
+    texts = [(1, "new york city is new"), (2, "aaaaa"), (3, "nothing"), (4, ""), (5, None), (6, "café é")]
+
+    def plain(t):
+        out, at = "", 0
+        while at < len(t):
+            best = max((p for p in phrases if t.startswith(p[0], at)), key=lambda p: len(p[0]), default=None)
+            out, at = (out + best[1], at + len(best[0])) if best else (out + t[at], at + 1)
+        return out
+
+    got = T.templated(spark.createDataFrame(texts, "id long, t string"), "id", "t", spark.createDataFrame(phrases, "keyword string, template string"))
+    assert {r["id"]: r["text"] for r in got.collect()} == {i: None if t is None else plain(t) for i, t in texts}
+    assert {r["id"]: r["replaced"] for r in got.collect()} == {1: 2, 2: 2, 3: 0, 4: 0, 5: 0, 6: 2}
