@@ -144,11 +144,11 @@ for _entity, _sign in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"),
 SELECT page_id, trim(regexp_replace(translate(nfc_normalize({_entities}), {MARKS}, {PLAIN}), '\s+', ' ', 'g')) AS title
 FROM (SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS t FROM pages)""")
 def base_titles(spark, d):
-    """Titles of pages as plain text: entities resolved, compatibility characters composed, quotation marks made plain."""
+    """Titles of pages as plain text: entities resolved, characters composed, quotation marks made plain."""
     from quillmart.functions.udfs import base_text
 
     title = F.regexp_extract(F.coalesce("html", F.lit("")), "<title>([^<]*)</title>", 1)
-    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(base_text(title), r"(?U)\s+", " ")).alias("title"))
+    return table(spark, d, "pages").select("page_id", base_text(title).alias("title"))
 
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -37,3 +37,14 @@ def test_gate_reasons(spark):
     rows = [("Fine Name", "t", "about fine name"), ("and then some", "t", ""), ("Plan", "t", ""), ("ab1", "t", ""), ("Only Title", "Only title here", "elsewhere"), (None, None, None)]
     df = spark.createDataFrame(rows, "n string, t string, s string").select(N.name_gate(F.col("n"), F.col("t"), F.col("s"), RULES).alias("g"))
     assert [r.g.reason for r in df.collect()] == ["", "sentence_fragment", "weak_name", "too_short", "title_only", "sentence_fragment"]
+
+
+def test_base_titles_of_cut_entities_and_odd_characters_equal_their_sql(spark, tmp_path):
+    from quillmart import plans
+
+    from conftest import same_as_sql
+
+    titles = ["a &amp", "a &amp;amp; b", "&amp;lt;", "&lt &lt;b&gt;", "&copy; &#x27; &#39;", "e\u0301 \ufb01 \uff21", "\u00a0x\u2003y\u00a0", " \t\x0ba\x0b \n", "\u201ca\u201d \u00abb\u00bb \u2018c\u2019", ""]
+    pages = [(i, f"<title>{t}</title>") for i, t in enumerate(titles)] + [(98, None), (99, "no title")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert same_as_sql(plans.QUERIES["base_titles"](spark, str(tmp_path)), plans.ORACLE_SQL["base_titles"], str(tmp_path)) == 12
