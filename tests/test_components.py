@@ -54,3 +54,19 @@ def test_join_of_a_hot_key_equals_the_plain_join(spark, monkeypatch):
     for how in ("inner", "left"):
         want = sorted(map(repr, rows.join(known, "k", how).collect()))
         assert sorted(map(repr, hot.join_unique(rows, known, "k", keys, how).collect())) == sorted(map(repr, hot.join_unique(rows, known, "k", None, how).collect())) == want
+
+
+def test_local_trees_connect_what_edges_connect_with_fewer_edges(spark, monkeypatch):
+    from quillmart.operators import components as C
+
+    monkeypatch.setattr(C, "TAKEN", 8)
+    edges = [(a, b, a + b) for a in range(12) for b in range(a + 1, 12)] + [(20 + i, 21 + i, i) for i in range(9)] + [(5, 5, 99)]
+    kept = C._trees  # one task, taken up in runs of eight edges
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"a": [a], "b": [b], "v": [v], "k": [True]}) for a, b, v in edges[:-1]]
+    got = [r for x in kept(iter(batches)) for r in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    assert sorted(got) == sorted([(0, b, 21) for b in range(1, 12)] + [(20, 21 + i, 8) for i in range(9)])
+    df = spark.createDataFrame(edges, "l long, r long, v int").repartition(1)
+    assert sorted(map(tuple, C.local_trees(df, "l", "r", "v").collect())) == sorted(got)
+    assert C.local_trees(df.limit(0), "l", "r").collect() == []

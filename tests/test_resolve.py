@@ -79,3 +79,24 @@ def test_metric_values_of_awkward_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["value"] for r in metric_value(spark, str(tmp_path)).collect()}
     assert got == {0: 3500000.0, 1: 1200000.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 12345678901.0, 6: 7000.0, 7: -0.0425, 8: 5.0}
+
+
+def test_groups_of_a_block_are_compared_once_and_give_all_pairs(spark, monkeypatch):
+    from quillmart.operators import hot
+
+    monkeypatch.setattr(hot, "LEAST_ROWS", 10)
+    monkeypatch.setattr(V, "CELL_ROWS", 7)
+    rows = [(i, i % 2, [None, "x", "y"][i % 3], i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, b int, name string, n int")
+    facts = lambda met: met.withColumn("same", F.col("left_name").eqNullSafe(F.col("right_name")))
+    want = sorted((x[0], y[0], x[2] == y[2], {x[3], y[3]}) for x in rows for y in rows if x[1] == y[1] and x[0] < y[0])
+    for symmetric in (False, True):
+        met = V.block_pairs(df, ["b"], "id", ["n"], ["name"], facts, symmetric)
+        assert sorted((r.left_id, r.right_id, r.same, {r.left_n, r.right_n}) for r in met.collect()) == want
+
+
+def test_judged_is_the_first_rule_that_holds(spark):
+    rules = [(False, "0", "no", "veto"), (True, "90 + n", "yes", "fine"), (True, "10", "late", "n > 1")]
+    df = spark.createDataFrame([(True, True, 1), (False, True, 2), (None, None, 2), (False, False, 0)], "veto boolean, fine boolean, n int")
+    got = V.judged(df, rules, "grey").select("accepted", "confidence", "reason").collect()
+    assert [tuple(r) for r in got] == [(False, 0, "no"), (True, 92, "yes"), (True, 10, "late"), (False, 0, "grey")]
