@@ -22,8 +22,8 @@ _SAFE = re.compile(r"[!-~\w]")
 _CUT = re.compile(r"(?= [!-~\w])")
 #: Words that are remembered, at some 200 bytes each; workers keep them for later stages.
 _MOST_KNOWN = 250_000
-#: Bytes of text that are encoded at a time.
-_PORTION = 8 << 20
+#: Bytes of text that are encoded at a time; fewer in the order of a mix, where workers of earlier stages still hold memory.
+_PORTION, _PORTION_IN_ORDER = 8 << 20, 2 << 20
 _tokenizers: dict[tuple[str, int], Encoder] = {}
 
 
@@ -99,8 +99,10 @@ class Encoder:
             else:
                 known[x] = np.array(self.ranked.encode_ordinary(x), "<u4").tobytes()
         known.update(zip(plain, self._lines(plain), strict=True))
-        for x, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(other), 2000):
+            part = other[at : at + 2000]
+            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[x] = np.array(e.ids, "<u4").tobytes()
         return [known[x] for x in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +113,9 @@ class Encoder:
         offsets = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
-        unit, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        # places of words and ids fit in 32 bits, as an Arrow text has fewer bytes than that
+        unit, distinct = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
+        del parts, coded
         n, first = len(texts), offsets[:-1]
         unsafe = np.array([_SAFE.match(x) is None for x in distinct])[unit]
         unsafe[first] = False
@@ -130,17 +134,18 @@ class Encoder:
         unit = np.insert(unit[rest], last, len(distinct) + n)
 
         table = [*self._words([" " + x for x in distinct]), *begin, self.end]
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        flat, at = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, table), np.int32, len(table)) // 4
+        flat, at = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
         size = sizes[unit]
-        ends = np.cumsum(size)
-        ids = flat[np.repeat(at[unit] - (ends - size), size) + np.arange(ends[-1])]
-        return ids, ends[last + np.arange(n)]
+        ends = np.cumsum(size, dtype=np.int32)
+        taken = np.repeat(at[unit] - (ends - size), size)
+        taken += np.arange(len(taken), dtype=np.int32)
+        return flat[taken], ends[last + np.arange(n)].astype(np.int64)
 
 
-def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about _PORTION bytes of text, one row at least."""
-    turn = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64)) // _PORTION
+def portions(batch: pa.RecordBatch, size: int = _PORTION) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``size`` bytes of text, one row at least."""
+    turn = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64)) // size
     cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
     yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
@@ -223,10 +228,11 @@ def _pack(path: str, room: int, end_id: int, most_open: int, with_ids: bool, fil
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizers.get((path, end_id)) or _tokenizers.setdefault((path, end_id), Encoder(path, end_id))
         bins, base = BestFit(room, most_open), TaskContext.get().partitionId() << 32
-        ordered = InOrder(room, most_open)
+        ordered, portion = InOrder(room, most_open), _PORTION if files is None else _PORTION_IN_ORDER
+        pa.default_memory_pool().release_unused()
         for whole in batches:
             rows: list[tuple] = []
-            for batch in portions(whole):
+            for batch in portions(whole, portion):
                 ids, ends = encoder.encode(batch["text"])
                 raw, begin = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
                 for doc, end in zip(batch["doc_id"].to_pylist(), ends.tolist(), strict=True):

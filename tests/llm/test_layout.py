@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -75,6 +76,17 @@ def test_encoder_equals_whole_texts(tokenizer):
     assert [x.tolist() for x in encoder.encode(pa.array(texts).slice(7, 1))[0:1]] == [[*tokenizer.encode(texts[7], add_special_tokens=False).ids, 2]]
 
 
+def test_encoder_holds_few_bytes_a_word(tokenizer):
+    encoder, texts = packing.Encoder(packing.default_tokenizer()), pa.array([" ".join(f"w{i % 50}" for i in range(400_000))])
+    encoder.encode(texts)
+    tracemalloc.start()
+    try:
+        encoder.encode(texts)
+        assert tracemalloc.get_traced_memory()[1] < 45 * 400_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_best_fit_equals_a_plain_list_of_bins():
     rnd = random.Random(7)
     bins, plain, made = packing.BestFit(64, 5), {}, 0
