@@ -6,6 +6,9 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import pytest
+from pyspark.sql import functions as F
+
 from quillmart.operators import parts as P
 from quillmart.plans import subjects as S
 
@@ -50,6 +53,26 @@ def test_no_pairs(spark):
     assert P.component_overlaps(none, spark.createDataFrame([(1, ["a"])], "id long, components array<string>")).collect() == []
 
 
+def test_telling_overlaps_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(P, "durable", lambda df: pytest.fail("pairs or components are stored"))
+    rnd = random.Random(5)
+    words = ["minor cancer", "cancer", "major surgery", "surgery cost", "surgery costs", "care", "daily care cost", "night", "nights off", "abcdefgh", "abcdexgh", "x" * 70]
+    events = [(i, rnd.choice(["a", "b", None]), sorted(set(rnd.sample(words, rnd.randrange(0, 6))))) for i in range(90)]
+    tell = lambda e: {w for c in e[2] for w in c.split(" ") if len(w) >= 7}
+    wanted = {}
+    for x in events:
+        for y in events:
+            if x[0] < y[0] and x[1] == y[1] and x[1] and tell(x) & tell(y):
+                n = matched(x[2], y[2])
+                wanted[x[0], y[0]] = (n, 100 * n // max(1, min(len(x[2]), len(y[2]))))
+    df = spark.createDataFrame(events, "id long, source string, components array<string>")
+    told = F.flatten(F.transform("components", lambda c: F.filter(F.split(c, " "), lambda w: F.char_length(w) >= 7)))
+    for rows in (P.CELL_ROWS, 8):
+        monkeypatch.setattr(P, "CELL_ROWS", rows)
+        got = P.telling_overlaps(df, "source", told).collect()
+        assert len(got) == len(wanted) and {(r["left_id"], r["right_id"]): (r["matched"], r["overlap"]) for r in got} == wanted
+
+
 def nearest(text, verbs, reach):
     best = None
     months = [(m.start(), m.end(), m[0]) for m in re.finditer(S.MONTH, text)]
