@@ -55,18 +55,19 @@ def without_cycles(links: DataFrame, node: str, target: str) -> DataFrame:
     return links.join(smallest, node, "left").withColumn("breaks", F.coalesce("breaks", F.lit(False)))
 
 
-def moved_children(child: DataFrame, key: str, natural: list[str], mapping: DataFrame) -> DataFrame:
+def moved_children(child: DataFrame, key: str, natural: list[str], mapping: DataFrame, hot: tuple[DataFrame | None] | None = None) -> DataFrame:
     """Children after their parents' merge: ``key`` moved, one row for each natural key (key and ``natural``).
 
     Of rows that collide the one that was there stays, else that of the smallest former parent; ``came_from`` is its
     former parent, ``rows`` and ``moved`` are how many rows met and how many of them moved. ``mapping`` is
     (duplicate_id, canonical_id), unique by duplicate. Rows of a parent with very many children stay in place, and
-    rows that collide are combined before they move.
+    rows that collide are combined before they move. ``hot`` holds such parents where they are known already, as
+    counting them works the child table out twice more.
     """
     others = [c for c in child.columns if c not in (key, *natural)]
     target = mapping.select(F.col("duplicate_id").alias(key), F.col("canonical_id").alias("_to"))
     filled = child.where(F.col(key).isNotNull())
-    joined = join_unique(filled, target, key, hot_keys(filled, key), "left").unionByName(child.where(F.col(key).isNull()).withColumn("_to", F.lit(None)))
+    joined = join_unique(filled, target, key, hot_keys(filled, key) if hot is None else hot[0], "left").unionByName(child.where(F.col(key).isNull()).withColumn("_to", F.lit(None)))
     went = F.col("_to").isNotNull()
     row = F.min(F.struct(went.alias("went"), F.col(key).alias("was"), *others)).alias("row")
     met = joined.groupBy(F.coalesce("_to", key).alias("_key"), *natural).agg(row, F.count(F.lit(1)).alias("rows"), F.count_if(went).alias("moved"))

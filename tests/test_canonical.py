@@ -98,3 +98,16 @@ def test_nested_children_keep_order_and_bound(spark):
     assert rows["a"] == (["0", "1", "2"], ["y"]) and rows["c"] == ([], []) and rows["b"][0] == [] and sorted(rows["b"][1], key=str) == [None, "x"]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2  # cut before the rows move
+
+
+def test_hot_parents_are_counted_once_a_source(spark, sf_dir, monkeypatch):
+    from quillmart.plans import canonical as plan
+
+    counted = []
+    noted = lambda rows, key, total=None: counted.append(key)
+    monkeypatch.setattr(plan, "hot_keys", noted)
+    mapping = spark.createDataFrame([(2, 1), (3, 1)], "duplicate_id long, canonical_id long")
+    monkeypatch.setattr(plan, "redirects", lambda spark, d: mapping)
+    monkeypatch.setattr(plan.K, "hot_keys", noted)
+    assert plan.merge_application(spark, sf_dir).count() == len(plan.CHILDREN)
+    assert len(counted) == 2
