@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -82,21 +83,106 @@ def mentions(texts: DataFrame, keys: list[str], text: Column | str, aliases: Dat
     read once for each automaton, in time that grows with its length and its mentions, not with the dictionary. Null
     texts have no mention. With ``edges`` come the characters ``before`` and ``after`` it, empty at the text's ends.
     """
-    spark = texts.sparkSession
-    names = durable(aliases.select("alias").where("alias <> ''").distinct())
-    total = names.agg(F.coalesce(F.sum(F.octet_length("alias")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // PART_BYTES))
     rows = texts.select(*keys, F.col(text).alias("_text") if isinstance(text, str) else text.alias("_text"))
     types = dict(rows.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "alias string", "start int", *(["before string", "after string"] if edges else [])])
-    out = None
+    return functools.reduce(DataFrame.unionByName, _over_parts(rows, aliases, functools.partial(_found, edges=edges), schema))
+
+
+def _over_parts(rows: DataFrame, aliases: DataFrame, task: Callable, schema: str) -> list[DataFrame]:
+    """The rows read by ``task`` with each part of the aliases, PART_BYTES of them at a time."""
+    spark = rows.sparkSession
+    names = durable(aliases.select("alias").where("alias <> ''").distinct())
+    total = names.agg(F.coalesce(F.sum(F.octet_length("alias")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // PART_BYTES))
+    out = []
     for part in range(parts):
         mine = names.where(F.pmod(F.xxhash64(F.lit(3), "alias"), F.lit(parts)) == part)
-        found = rows.mapInArrow(functools.partial(_found, words=_Words(spark, sorted(r[0] for r in mine.collect())), edges=edges), schema)
-        out = found if out is None else out.unionByName(found)
+        out.append(rows.mapInArrow(functools.partial(task, words=_Words(spark, sorted(r[0] for r in mine.collect()))), schema))
     return out
 
 
+def _places(text: str, word: str) -> list[int]:
+    """The places of a word in a text, one after another without overlap."""
+    found, at = [], text.find(word) if word else -1
+    while at >= 0:
+        found.append(at)
+        at = text.find(word, at + len(word))
+    return found
+
+
+def _best_places(text: str, anchor: str | None, automaton, tiers: list[int]) -> dict[str, tuple[int, int, int | None]]:
+    """alias: (tier, start, distance) of the mention of each alias that is in the least tier, then first."""
+    spots, best = _places(text, anchor or ""), {}
+    for end, word in automaton.iter(text):
+        seen = best.get(word)
+        if seen is not None and (not spots or seen[0] == 0):
+            continue
+        start, distance, tier = end + 1 - len(word), None, len(tiers)
+        if spots:
+            i = bisect_right(spots, start)
+            distance = start - spots[i - 1] if i else spots[0] - start
+            if i and i < len(spots):
+                distance = min(distance, spots[i] - start)
+            tier = bisect_left(tiers, distance)
+        if seen is None or tier < seen[0]:
+            best[word] = (tier, start, distance)
+    return best
+
+
+def _placed(batches: Iterator[pa.RecordBatch], words: _Words, tiers: list[int]) -> Iterator[pa.RecordBatch]:
+    if not words.value:
+        return
+    automaton = _automaton(words)
+    for batch in batches:
+        keys = [i for i, name in enumerate(batch.schema.names) if name not in ("_text", "_anchor")]
+        rows, alias, start, distance = [], [], [], []
+
+        def ready() -> pa.RecordBatch:
+            taken = [batch.column(i).take(pa.array(rows, pa.int64())) for i in keys]  # noqa: B023
+            out = pa.RecordBatch.from_arrays([*taken, pa.array(alias, pa.string()), pa.array(start, pa.int32()), pa.array(distance, pa.int32())], names=[*[batch.schema.names[i] for i in keys], "alias", "start", "distance"])  # noqa: B023
+            for x in (rows, alias, start, distance):  # noqa: B023
+                x.clear()
+            return out
+
+        for row, (text, anchor, how) in enumerate(zip(batch["_text"].to_pylist(), batch["_anchor"].to_pylist(), batch["how"].to_pylist(), strict=True)):
+            if how == "whole":
+                best = {text: (0, 0, None)} if text and text in automaton else {}
+            else:
+                best = _best_places(text or "", anchor, automaton, tiers)
+            if how == "longest" and best:
+                word = min(best, key=lambda w: (-len(w), best[w][1], w))  # noqa: B023
+                best = {word: best[word]}
+            for word, (_, at, far) in best.items():
+                rows.append(row)
+                alias.append(word)
+                start.append(at)
+                distance.append(far)
+            if len(rows) >= 65_536:
+                yield ready()
+        yield ready()
+
+
+def placed_mentions(texts: DataFrame, keys: list[str], text: str, anchor: str, how: str, aliases: DataFrame, tiers: list[int]) -> DataFrame:
+    """(keys, how, alias, start, distance): the mention of each alias in each text that stands nearest to the anchor.
+
+    Distances count by ``tiers`` (``<=`` each, ascending); of equal ones the first mention is taken. They are measured
+    to the nearest of all places of the text's own anchor, and null without one. ``how`` is a column: ``near`` as said,
+    ``longest`` for the longest alias of the text alone (then the first), ``whole`` for texts that are an alias. All is
+    found in the row of the text, so only one row an alias leaves it. ``keys`` are unique by text for ``longest``.
+    """
+    rows = texts.select(*keys, F.col(how).alias("how"), F.col(text).alias("_text"), F.when(F.col(how) == "near", F.col(anchor)).alias("_anchor"))
+    types = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "how string", "alias string", "start int", "distance int"])
+    parts = _over_parts(rows, aliases, functools.partial(_placed, tiers=tiers), schema)
+    found = functools.reduce(DataFrame.unionByName, parts)
+    if len(parts) == 1:
+        return found
+    # the longest of each part meet
+    longest = found.where("how = 'longest'").groupBy(*keys, "how").agg(F.min(F.struct((-F.char_length("alias")).alias("l"), "start", "alias", "distance")).alias("m"))
+    return found.where("how <> 'longest'").unionByName(longest.select(*keys, "how", "m.alias", "m.start", "m.distance"))
+
+
 def stands_alone() -> Column:
     """Whether no letter, digit or underscore touches a mention found with its edges."""
     word = r"[\p{L}\p{N}_]"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmart.functions import text as X
+from quillmart.functions.durable import durable
 from quillmart.operators import mentions as M
 from quillmart.plans.registry import query
 from quillmart.sources.files import table
@@ -93,7 +94,7 @@ def best_alias_mention(spark, d):
 
 
 def evidence(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, expected, anchor, raw) of every document and its evidence (doc_id, source, k), squeezed.
+    """(doc_id, expected, anchor, raw) of every document and its evidence (doc_id, expected, anchor, source, k), squeezed.
 
     The title is the first sentence and the description the second. The subject, anchor of the rest, is the title's
     longest word; the local text is the first later sentence with it, and the previous text the one before that. The
@@ -109,19 +110,21 @@ def evidence(spark, d) -> tuple[DataFrame, DataFrame]:
     later = F.array_min(F.filter(F.transform("keys", lambda k, i: F.when((i > 0) & (F.col("anchor") != "") & F.contains(k, F.col("anchor")), i)), lambda i: i.isNotNull()))
     rows = rows.withColumn("local", later)
     size = F.char_length("text")
-    known = rows.select("doc_id", F.when(size >= 2000, "long").when(size < 500, "short").alias("expected"), "anchor", "raw")
+    expected = F.when(size >= 2000, "long").when(size < 500, "short").alias("expected")
+    known = rows.select("doc_id", expected, "anchor", "raw")
     part = lambda source, k: F.struct(F.lit(source).alias("source"), k.alias("k"))
     texts = F.array(
         part("local_text", F.get("keys", F.col("local"))),
         part("previous_text", F.get("keys", F.col("local") - 1)),
         part("article_title", F.get("keys", F.lit(0))),
         part("article_description", F.get("keys", F.lit(1))),
-        part("full_text", X.search_key(F.col("text"))),
+        # what parts sentences is squeezed out of the whole text as well
+        part("full_text", F.array_join("keys", "")),
         part("product_name_brand", F.col("anchor")),
         part("raw_candidate", F.col("raw")),
         part("company_candidates", F.when(F.size("s") > 0, F.element_at("s", -1))),
     )
-    return known, rows.select("doc_id", F.explode(texts).alias("e")).select("doc_id", "e.*").where("k <> ''")
+    return known, rows.select("doc_id", expected, "anchor", F.explode(texts).alias("e")).select("doc_id", "expected", "anchor", "e.*").where("k <> ''")
 
 
 def _score(distance: Column) -> Column:
@@ -136,36 +139,37 @@ def _score(distance: Column) -> Column:
     return F.greatest(F.lit(0), base + pick("source", WEIGHTS) + kind + near).cast("int")
 
 
+#: How the aliases of evidence are read that is no running text.
+HOW = {"product_name_brand": "longest", "raw_candidate": "longest", "company_candidates": "whole"}
+
+
 def scored_evidence(known: DataFrame, texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, source, entity, kind, alias, match_type, start, score): the best mention of each entity in each evidence.
+    """(doc_id, expected, source, entity, kind, alias, match_type, start, score): the best mention of each entity in each evidence.
 
-    Every mention in a text is measured to the nearest place of the subject. Of a subject's name the longest alias
-    speaks, if it has one owner; of a raw candidate likewise; if its longest alias has several, the owner of the
-    expected kind speaks, if there is one only. Company candidates are whole words.
+    Every mention in a text is measured to the nearest place of the subject, in the row of the text; an alias leaves it
+    with its best mention, as no score is as low as 0 and the rest of it is the same for all mentions of an alias. Of a
+    subject's name the longest alias speaks, if it has one owner; of a raw candidate likewise; if its longest alias has
+    several, the owner of the expected kind speaks, if there is one only. Company candidates are whole words.
     """
-    named = ("product_name_brand", "raw_candidate", "company_candidates")
-    plain = texts.where(~F.col("source").isin(*named))
-    found = M.mentions(plain, ["doc_id", "source"], "k", words)
-    anchors = M.occurrences(plain.join(known.select("doc_id", "anchor"), "doc_id"), ["doc_id", "source"], "k", "anchor")
-    placed = M.nearest_anchor(found, anchors, ["doc_id", "source"]).join(words, "alias")
-
-    names = texts.where(F.col("source").isin("product_name_brand", "raw_candidate"))
-    longest = M.mentions(names, ["doc_id", "source"], "k", words).groupBy("doc_id", "source").agg(F.min(F.struct((-F.char_length("alias")).alias("l"), "start", "alias")).alias("m"))
-    longest = longest.select("doc_id", "source", "m.alias", "m.start").join(words, "alias")
-    alone = longest.where("match_type <> 'short_alias'")
-    several = longest.where("source = 'raw_candidate' AND match_type = 'short_alias'").join(known.select("doc_id", "expected"), "doc_id").where("kind = expected").drop("expected")
-    one = Window.partitionBy("doc_id")
-    several = several.withColumn("_n", F.count(F.lit(1)).over(one)).where("_n = 1").drop("_n").withColumn("source", F.lit("industry_reresolve"))
-    listed = texts.where("source = 'company_candidates'").select("doc_id", "source", F.explode(F.array_distinct(F.transform(F.split("k", " "), X.search_key))).alias("alias")).join(words.where("match_type <> 'short_alias'"), "alias")
-    nowhere = F.lit(None).cast("int")
-    columns = ["doc_id", "source", "entity", "kind", "alias", "match_type", "start", "distance"]
-    every = placed.select(*columns)
-    for more in (alone, several, listed):
-        every = every.unionByName(more.withColumns({"start": nowhere, "distance": nowhere}).select(*columns))
+    if "anchor" not in texts.columns:
+        texts = texts.join(known.select("doc_id", "expected", "anchor"), "doc_id")
+    how = F.coalesce(*[F.when(F.col("source") == k, F.lit(v)) for k, v in HOW.items()], F.lit("near"))
+    listed = F.array_distinct(F.transform(F.split("k", " "), X.search_key))
+    rows = texts.withColumn("k", F.explode(F.when(F.col("source") == "company_candidates", listed).otherwise(F.array("k")))).withColumn("how", how)
+    found = M.placed_mentions(rows, ["doc_id", "expected", "source"], "k", "anchor", "how", words, [most for most, _ in sorted(NEAR)])
+    # owners of an alias that are of one kind, among which that of the expected kind is looked for
+    owners = durable(words.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("alias", "kind", "match_type"))))
+    size = owners.agg(F.coalesce(F.sum(F.octet_length("alias")), F.lit(0))).first()[0]
+    every = found.join(F.broadcast(owners) if size <= M.PART_BYTES else owners, "alias")
+    short = F.col("match_type") == "short_alias"
+    again = (F.col("source") == "raw_candidate") & short & (F.col("kind") == F.col("expected")) & (F.col("_n") == 1)
+    every = every.where((F.col("how") == "near") | ~short | again).withColumn("source", F.when(again, "industry_reresolve").otherwise(F.col("source")))
+    every = every.withColumns({c: F.when(F.col("how") == "near", F.col(c)) for c in ("start", "distance")})
     every = every.withColumn("score", _score(F.col("distance")))
     order = F.struct((-F.col("score")).alias("o"), (-F.char_length("alias")).alias("l"), F.coalesce("start", F.lit(10**9)).alias("p"), "alias")
-    best = every.groupBy("doc_id", "source", "entity", "kind").agg(F.min(F.struct(order.alias("order"), "match_type", "start", "score")).alias("m"))
-    return best.select("doc_id", "source", "entity", "kind", F.col("m.order.alias").alias("alias"), "m.match_type", "m.start", "m.score")
+    # all that follows is by document, so rows move once
+    best = every.repartition("doc_id").groupBy("doc_id", "expected", "source", "entity", "kind").agg(F.min(F.struct(order.alias("order"), "match_type", "start", "score")).alias("m"))
+    return best.select("doc_id", "expected", "source", "entity", "kind", F.col("m.order.alias").alias("alias"), "m.match_type", "m.start", "m.score")
 
 
 def attributed(known: DataFrame, marks: DataFrame) -> DataFrame:
@@ -177,10 +181,9 @@ def attributed(known: DataFrame, marks: DataFrame) -> DataFrame:
     """
     order = [F.desc("score"), F.desc(F.char_length("alias")), F.coalesce("start", F.lit(10**9)), "entity", "source"]
     mine = Window.partitionBy("doc_id")
-    rows = marks.join(known.select("doc_id", "expected"), "doc_id")
     fits = F.coalesce((F.col("kind") == F.col("expected")) & (F.col("match_type") != "short_alias"), F.lit(False))
     first = F.row_number().over(mine.orderBy(fits.cast("int").desc(), *order))
-    rows = rows.withColumn("_n", first)
+    rows = marks.withColumn("_n", first)
     chosen = F.max(F.when(F.col("_n") == 1, F.struct("entity", "kind", "alias", "match_type", "source", "score"))).over(mine)
     rows = rows.withColumn("c", chosen)
     backs = (F.col("entity") == F.col("c.entity")) & (F.col("match_type") != "short_alias") & (F.char_length("alias") >= F.char_length("c.alias"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,32 @@ def test_occurrences_take_any_character_as_it_is(spark):
     texts = table(spark, [(1, "a.b\\Ea.b", "a.b"), (4, "x\\Ey\\E", "\\E"), (2, "aaaa", "aa"), (3, "abc", "")], "id long, t string, a string")
     assert sorted(tuple(r) for r in M.occurrences(texts, ["id"], "t", "a").collect()) == [(1, 0), (1, 5), (2, 0), (2, 2), (4, 1), (4, 4)]
     assert M.best_of_entities(table(spark, [(1, 5, 3), (1, 5, 2)], "id long, entity long, start int"), ["id"], [F.col("start")], ["start"]).collect()[0]["start"] == 2
+
+
+@pytest.mark.parametrize("part_bytes", [2 << 20, 6])
+def test_placed_mentions_are_the_best_of_all_places(spark, monkeypatch, part_bytes):
+    """One row an alias, as out of all places and anchors; the longest and whole ones of texts that are names."""
+    monkeypatch.setattr(M, "PART_BYTES", part_bytes)
+    rnd = random.Random(3)
+    words = ["ab", "b", "aab", "üa", "abab"]
+    texts = [(i, "".join(rnd.choice("abü") for _ in range(rnd.randrange(30))), rnd.choice(["a", "ba", "ü", "", None]), how) for i, how in enumerate(["near", "longest", "whole"] * 30)]
+    texts += [(100, "abab", None, "whole"), (101, None, "a", "near"), (102, "", "a", "longest"), (103, "bab", "b", "longest")]
+    df, tiers = table(spark, texts, "id long, t string, a string, how string"), [1, 4]
+    got = M.placed_mentions(df, ["id"], "t", "a", "how", table(spark, [(w,) for w in words], "alias string"), tiers).collect()
+    expected = set()
+    for i, t, a, how in texts:
+        spots = [m.start() for m in re.finditer(re.escape(a), t or "")] if a and how == "near" else []
+        best = {}
+        for _, w, k in brute([(i, t)], words):
+            far = min((abs(k - s) for s in spots), default=None)
+            best[w] = min(best.get(w, (9, 0, None)), (len(tiers) if far is None else sum(far > x for x in tiers), k, far), key=lambda x: x[:2])
+        if how == "longest" and best:
+            best = dict([min(best.items(), key=lambda x: (-len(x[0]), x[1][1], x[0]))])
+        expected |= {(i, how, w, k, far) for w, (_, k, far) in best.items() if how != "whole" or w == t}
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_attribution_reads_its_documents_once(spark, sf_dir):
+    """Evidence is matched in one pass over the documents and moved once, beside their ids and kinds."""
+    plan = A.attribution(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 2
