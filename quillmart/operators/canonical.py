@@ -88,12 +88,40 @@ def nested_children(parents: DataFrame, key: str, children: dict[str, tuple[Data
     it moves (a task sends ``most`` rows of a parent and table at most), and gathered by one grouping, instead of a
     join for each table. Parents without children have empty arrays.
     """
+    return _with_lists(parents, key, _gathered(key, children, most), list(children))
+
+
+def _gathered(key: str, children: dict[str, tuple[DataFrame, list[Column], Column]], most: int) -> DataFrame:
     tagged = []
     for name, (table, order, item) in children.items():
         # orders of different tables are compared within their table only, as sortable texts
         tagged.append(table.select(key, F.lit(name).alias("_tag"), F.concat_ws("\x01", *order).alias("_order"), item.cast("string").alias("_item")))
     place = F.row_number().over(Window.partitionBy(key, "_tag").orderBy("_order", "_item"))
     first = reduce(DataFrame.unionByName, tagged).withColumn("_n", place).where(F.col("_n") <= most)
-    gathered = first.groupBy(F.col(key).alias("_key")).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("_tag") == name, F.struct("_n", "_item")))), lambda x: x["_item"]).alias(name) for name in children])
+    return first.groupBy(F.col(key).alias("_key")).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("_tag") == name, F.struct("_n", "_item")))), lambda x: x["_item"]).alias(name) for name in children])
+
+
+def _with_lists(parents: DataFrame, key: str, gathered: DataFrame, names: list[str]) -> DataFrame:
     joined = parents.join(gathered, F.col(key) == F.col("_key"), "left")
-    return joined.select(*parents.columns, *[F.coalesce(name, F.array().cast("array<string>")).alias(name) for name in children])
+    return joined.select(*parents.columns, *[F.coalesce(name, F.array().cast("array<string>")).alias(name) for name in names])
+
+
+def nested_lists(parents: DataFrame, key: str, table: DataFrame, lists: dict[str, tuple[list[Column], Column, Column | None]], most: int) -> DataFrame:
+    """``nested_children`` where all lists are of one table: name: (order, item, test of its rows or None).
+
+    A row moves once with what all lists want of it, and the lists are sorted and cut in the row of their parent. Rows
+    of a parent with very many children are ranked and cut where they are instead, as those of ``nested_children``.
+    """
+    rows = table.where(F.col(key).isNotNull())
+    hot = hot_keys(rows, key)
+    keys = None if hot is None else F.broadcast(hot.select(key))
+    few = rows if keys is None else rows.join(keys, key, "left_anti")
+    entry = lambda order, item: F.struct(F.concat_ws("\x01", *order).alias("o"), item.cast("string").alias("i"))
+    listed = [F.collect_list(entry(order, item) if test is None else F.when(test, entry(order, item))).alias(name) for name, (order, item, test) in lists.items()]
+    # moved as they are: the texts of orders and items are made where the lists are
+    grouped = few.repartition(key).groupBy(F.col(key).alias("_key")).agg(*listed)
+    gathered = grouped.select("_key", *[F.slice(F.sort_array(name), 1, most)["i"].alias(name) for name in lists])
+    if keys is not None:
+        many = rows.join(keys, key, "left_semi")
+        gathered = gathered.unionByName(_gathered(key, {name: (many if test is None else many.where(test), order, item) for name, (order, item, test) in lists.items()}, most))
+    return _with_lists(parents, key, gathered, list(lists))

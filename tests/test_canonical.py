@@ -111,3 +111,20 @@ def test_hot_parents_are_counted_once_a_source(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(plan.K, "hot_keys", noted)
     assert plan.merge_application(spark, sf_dir).count() == len(plan.CHILDREN)
     assert len(counted) == 2
+
+
+def test_lists_of_one_table_move_their_rows_once(spark, sf_dir):
+    """As many child tables would give, with and without a parent of very many children."""
+    from quillmart import plans
+
+    rows = [(1, i % 7, i) for i in range(900)] + [(2, 3, 1), (2, None, 2), (3, None, None), (None, 1, 1)] + [(i, 1, i) for i in range(10, 60)]
+    child = spark.createDataFrame(rows, "id long, a int, b int")
+    parents = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, "w"), (None, "n"), (20, "v")], "id long, name string")
+    for table in (child, child.where("b < 20 OR b IS NULL")):
+        text = lambda c: F.lpad(F.col(c).cast("string"), 4, "0")
+        lists = {"one": ([text("a")], F.col("b"), None), "two": ([text("b")], F.concat_ws("/", "a", "b"), F.col("a") > 1)}
+        children = {name: (table if test is None else table.where(test), order, item) for name, (order, item, test) in lists.items()}
+        got, expected = K.nested_lists(parents, "id", table, lists, 3), K.nested_children(parents, "id", children, 3)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
+    plan = plans.QUERIES["parts_with_children"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "Window" not in plan
