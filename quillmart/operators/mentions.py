@@ -130,6 +130,27 @@ def _best_places(text: str, anchor: str | None, automaton, tiers: list[int]) ->
     return best
 
 
+def first_places(text: str, anchor: str | None, automaton, tiers: list[int]) -> dict[str, tuple[int, int]]:
+    """alias: (tier, start) of the mention of each alias that is in the least tier, then first, without its distance."""
+    ends, spots = list(automaton.iter(text)), _places(text, anchor or "")
+    far = len(tiers)
+    # the tier of each place of the text, nearer ones over farther ones
+    near = bytearray([far]) * len(text)
+    for tier in range(far - 1, -1, -1):
+        most = tiers[tier]
+        for spot in spots:
+            low, high = max(0, spot - most), min(len(text), spot + most + 1)
+            near[low:high] = bytes([tier]) * (high - low)
+    best = {word: (far, end + 1 - len(word)) for end, word in reversed(ends)}
+    if spots:
+        for end, word in ends:
+            start = end + 1 - len(word)
+            tier = near[start]
+            if tier < best[word][0]:
+                best[word] = (tier, start)
+    return best
+
+
 def _placed(batches: Iterator[pa.RecordBatch], words: _Words, tiers: list[int]) -> Iterator[pa.RecordBatch]:
     if not words.value:
         return
@@ -183,6 +204,36 @@ def placed_mentions(texts: DataFrame, keys: list[str], text: str, anchor: str, h
     return found.where("how <> 'longest'").unionByName(longest.select(*keys, "how", "m.alias", "m.start", "m.distance"))
 
 
+def _judged(batches: Iterator[pa.RecordBatch], words: _Words, judge: Callable, given: list[str], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    automaton = _automaton(words) if words.value else None
+    for batch in batches:
+        keys = [i for i, name in enumerate(batch.schema.names) if name not in given]
+        rows, out = [], []
+        for at in range(0, batch.num_rows, 256):
+            piece = batch.slice(at, 256)
+            for row, values in enumerate(zip(*[piece[c].to_pylist() for c in given], strict=True), at):
+                found = judge(automaton, *values)
+                rows += [row] * len(found)
+                out += found
+        taken = [batch.column(i).take(pa.array(rows, pa.int64())) for i in keys]
+        made = [pa.array([x[i] for x in out], pa.int64()) for i in range(len(columns))]
+        yield pa.RecordBatch.from_arrays([*taken, *made], names=[*[batch.schema.names[i] for i in keys], *columns])
+
+
+def judged_rows(rows: DataFrame, keys: list[str], given: list[str], aliases: list[str], judge: Callable, columns: list[str]) -> DataFrame:
+    """(keys, columns) that ``judge`` finds in each row: whole numbers, as a list of tuples, out of the automaton and ``given``.
+
+    For aliases of one automaton, of PART_BYTES at most; without any, ``judge`` gets None for it. A row is judged where
+    it is, and only what it is judged to give leaves it.
+    """
+    both = [F.col(c).alias(f"_given{i}") for i, c in enumerate(given)]
+    types = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], *[f"{c} long" for c in columns]])
+    words = _Words(rows.sparkSession, sorted({a for a in aliases if a}))
+    task = functools.partial(_judged, words=words, judge=judge, given=[f"_given{i}" for i in range(len(given))], columns=columns)
+    return rows.select(*keys, *both).mapInArrow(task, schema)
+
+
 def stands_alone() -> Column:
     """Whether no letter, digit or underscore touches a mention found with its edges."""
     word = r"[\p{L}\p{N}_]"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +95,15 @@ def best_alias_mention(spark, d):
     return M.best_of_entities(alias_mentions(spark, d), ["doc_id"], order, ["alias", "start", "match_type"])
 
 
+def _candidates(k: Column) -> Column:
+    """The distinct keys of the words of a sentence, parted by blanks."""
+    return F.array_join(F.array_distinct(F.transform(F.split(k, " "), X.search_key)), " ")
+
+
 def evidence(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, expected, anchor, raw) of every document and its evidence (doc_id, expected, anchor, source, k), squeezed.
+    """(doc_id, expected, anchor, raw) of every document, and its evidence: a list of (source, k), squeezed.
+
+    With the evidence come expected, anchor, letters (characters), bars and later, whether a later sentence has the subject.
 
     The title is the first sentence and the description the second. The subject, anchor of the rest, is the title's
     longest word; the local text is the first later sentence with it, and the previous text the one before that. The
@@ -103,7 +112,9 @@ def evidence(spark, d) -> tuple[DataFrame, DataFrame]:
     """
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = docs.select("doc_id", "text", X.sentences(F.col("text")).alias("s"))
-    rows = rows.withColumn("keys", F.transform("s", X.search_key)).withColumn("words", F.filter(F.transform(F.split(F.get("s", F.lit(0)), " "), X.search_key), lambda w: w != ""))
+    # sentences hold no line feed, so all of them are squeezed at once
+    rows = rows.withColumn("squeezed", F.regexp_replace(F.lower(F.array_join("s", "\n")), r"[^\p{L}\p{N}\n]+", ""))
+    rows = rows.withColumn("keys", F.split("squeezed", "\n")).withColumn("words", F.filter(F.transform(F.split(F.get("s", F.lit(0)), " "), X.search_key), lambda w: w != ""))
     longest = F.array_min(F.transform("words", lambda w: F.struct((-F.char_length(w)).alias("l"), w.alias("w"))))["w"]
     rows = rows.withColumn("anchor", F.coalesce(longest, F.lit(""))).withColumn("raw", F.coalesce(F.get("words", F.lit(0)), F.lit("")))
     # positions from 1 of later sentences with the subject
@@ -119,62 +130,143 @@ def evidence(spark, d) -> tuple[DataFrame, DataFrame]:
         part("article_title", F.get("keys", F.lit(0))),
         part("article_description", F.get("keys", F.lit(1))),
         # what parts sentences is squeezed out of the whole text as well
-        part("full_text", F.array_join("keys", "")),
+        part("full_text", F.replace("squeezed", F.lit("\n"), F.lit(""))),
         part("product_name_brand", F.col("anchor")),
         part("raw_candidate", F.col("raw")),
-        part("company_candidates", F.when(F.size("s") > 0, F.element_at("s", -1))),
+        part("company_candidates", F.when(F.size("s") > 0, _candidates(F.element_at("s", -1)))),
     )
-    return known, rows.select("doc_id", expected, "anchor", F.explode(texts).alias("e")).select("doc_id", "expected", "anchor", "e.*").where("k <> ''")
+    bars = size - F.char_length(F.replace("text", F.lit("|"), F.lit("")))
+    return known, rows.select("doc_id", expected, "anchor", size.alias("letters"), bars.alias("bars"), F.col("local").isNotNull().alias("later"), texts.alias("evidence"))
 
 
-def _score(distance: Column) -> Column:
+def _score(distance: Column, source: Column) -> Column:
     """Thousandths of a mention: base, weight of its evidence, kind of match, letters, nearness; 0 at least."""
-    pick = lambda column, values: F.coalesce(*[F.when(F.col(column) == k, F.lit(v)) for k, v in values.items()])
-    base = F.coalesce(pick("source", BASES), F.when((F.col("match_type") == "full_alias") & (F.char_length("alias") < FULL_LETTERS), SHORT_FULL_ALIAS), pick("match_type", {k: v[0] for k, v in MATCHES.items()}))
+    pick = lambda column, values: F.coalesce(*[F.when(column == k, F.lit(v)) for k, v in values.items()])
+    match = F.col("match_type")
+    base = F.coalesce(pick(source, BASES), F.when((match == "full_alias") & (F.char_length("alias") < FULL_LETTERS), SHORT_FULL_ALIAS), pick(match, {k: v[0] for k, v in MATCHES.items()}))
     letters = F.least(F.lit(MOST_LETTER_POINTS), F.greatest(F.lit(0), F.char_length("alias") - FREE_LETTERS) * LETTER_POINTS)
     near = F.lit(0)
     for most, points in sorted(NEAR, reverse=True):
         near = F.when(distance <= most, points).otherwise(near)
-    kind = F.when(F.col("source") == "product_name_brand", 0).otherwise(pick("match_type", {k: v[1] for k, v in MATCHES.items()}) + letters)
-    return F.greatest(F.lit(0), base + pick("source", WEIGHTS) + kind + near).cast("int")
+    kind = F.when(source == "product_name_brand", 0).otherwise(pick(match, {k: v[1] for k, v in MATCHES.items()}) + letters)
+    return F.greatest(F.lit(0), base + pick(source, WEIGHTS) + kind + near).cast("int")
 
 
 #: How the aliases of evidence are read that is no running text.
 HOW = {"product_name_brand": "longest", "raw_candidate": "longest", "company_candidates": "whole"}
 
 
-def scored_evidence(known: DataFrame, texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, expected, source, entity, kind, alias, match_type, start, score): the best mention of each entity in each evidence.
+#: Points for standing near the subject by tier, the last for standing farther or without one.
+TIERS, NEAR_POINTS = [most for most, _ in sorted(NEAR)], [*[points for _, points in sorted(NEAR)], 0]
+
 
-    Every mention in a text is measured to the nearest place of the subject, in the row of the text; an alias leaves it
-    with its best mention, as no score is as low as 0 and the rest of it is the same for all mentions of an alias. Of a
-    subject's name the longest alias speaks, if it has one owner; of a raw candidate likewise; if its longest alias has
-    several, the owner of the expected kind speaks, if there is one only. Company candidates are whole words.
+def _told(automaton, evidence: list[dict], anchor: str | None, expected: str | None, owned) -> list[tuple]:
+    """(owner, source, start, score) of the marks that tell whose a document is; one of nulls where it has none.
+
+    Of the best marks of each entity in each evidence these are: the one that wins, the best one of another entity, and,
+    where a short alias wins, one that backs it. All that is asked of a document is the same for them as for all marks.
     """
-    if "anchor" not in texts.columns:
-        texts = texts.join(known.select("doc_id", "expected", "anchor"), "doc_id")
-    how = F.coalesce(*[F.when(F.col("source") == k, F.lit(v)) for k, v in HOW.items()], F.lit("near"))
-    listed = F.array_distinct(F.transform(F.split("k", " "), X.search_key))
-    rows = texts.withColumn("k", F.explode(F.when(F.col("source") == "company_candidates", listed).otherwise(F.array("k")))).withColumn("how", how)
-    found = M.placed_mentions(rows, ["doc_id", "expected", "source"], "k", "anchor", "how", words, [most for most, _ in sorted(NEAR)])
+    marks, sources, owned = [], list(WEIGHTS), owned.value
+    for e in evidence if automaton is not None else ():
+        source, text = e["source"], e["k"]
+        if not text:
+            continue
+        how = HOW.get(source, "near")
+        if how == "whole":
+            found = {w: (-1, None) for w in text.split(" ") if w in owned}
+        else:
+            found = M.first_places(text, anchor if how == "near" else None, automaton, TIERS)
+        if how == "longest" and found:
+            word = min(found, key=lambda w: (-len(w), found[w][1], w))  # noqa: B023
+            found = {word: found[word]}
+        best, at = {}, sources.index(source)
+        for word, (tier, start) in found.items():
+            near, letters = (NEAR_POINTS[tier] if how == "near" else 0), -len(word)
+            for owner, entity, kind, match_type, alone, scores in owned[word]:
+                score = -near - scores[at]
+                seen = best.get((entity, kind))
+                if how == "near":
+                    if seen is not None and seen[0] < score:
+                        continue
+                    rank = (score, letters, start, word, match_type, source, owner, start)
+                elif match_type != "short_alias":
+                    rank = (score, letters, 10**9, word, match_type, source, owner, None)
+                elif source == "raw_candidate" and alone and expected is not None and kind == expected:
+                    rank = (-scores[sources.index("industry_reresolve")], letters, 10**9, word, match_type, "industry_reresolve", owner, None)
+                else:
+                    continue
+                if seen is None or rank < seen:
+                    best[entity, kind] = rank
+        marks += best.items()
+    if not marks:
+        return [(None, None, None, None)]
+    (entity, _), first = min(marks, key=lambda m: (expected is None or m[0][1] != expected or m[1][4] == "short_alias", *m[1][:3], m[0][0], m[1][5]))
+    telling, other = [first], min((rank for (e, _), rank in marks if e != entity), default=None)
+    if other:
+        telling.append(other)
+    if first[4] == "short_alias":
+        telling += [rank for (e, _), rank in marks if e == entity and rank[4] != "short_alias" and rank[1] <= first[1]][:1]
+    return [(owner, sources.index(source), at, -score) for score, *_, source, owner, at in telling]
+
+
+def scored_evidence(known: DataFrame | None, texts: DataFrame, words: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, expected, keep, source, entity, kind, alias, match_type, start, score): marks, the best mention of each entity in each evidence.
+
+    Every mention in a text is measured to the nearest place of the subject, in the row of the document, where an alias
+    counts with its best mention, as no score is as low as 0 and the rest of it is the same for all mentions of an alias.
+    Of a subject's name the longest alias speaks, if it has one owner; of a raw candidate likewise; if its longest alias
+    has several, the owner of the expected kind speaks, if there is one only. Company candidates are whole words.
+
+    Only the marks that tell whose a document is leave its row, three at most; of a dictionary beyond PART_BYTES all do,
+    as its automata each see a part of them. With columns of the texts to keep, documents without a mark have a row too.
+    ``texts`` has a list ``evidence``, or one row (doc_id, source, k) for each.
+    """
+    if "evidence" not in texts.columns:
+        keyed = F.when(F.col("source") == "company_candidates", _candidates(F.col("k"))).otherwise(F.col("k")).alias("k")
+        texts = texts.groupBy("doc_id").agg(F.collect_list(F.struct("source", keyed)).alias("evidence")).join(known.select("doc_id", "expected", "anchor"), "doc_id")
     # owners of an alias that are of one kind, among which that of the expected kind is looked for
-    owners = durable(words.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("alias", "kind", "match_type"))))
+    owners = durable(words.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("alias", "kind", "match_type"))).withColumn("_owner", F.monotonically_increasing_id()))
     size = owners.agg(F.coalesce(F.sum(F.octet_length("alias")), F.lit(0))).first()[0]
-    every = found.join(F.broadcast(owners) if size <= M.PART_BYTES else owners, "alias")
+    if size > M.PART_BYTES:
+        marks = _all_marks(texts, owners)
+        return texts.select("doc_id", "expected", *keep).join(marks.drop("expected"), "doc_id", "left") if keep else marks
+    listed = owners.where("alias <> ''").select("_owner", "alias", "entity", "kind", "match_type", (F.col("_n") == 1).alias("alone")).collect()
+    sizes = owners.select("match_type", F.substring("alias", 1, FREE_LETTERS + MOST_LETTER_POINTS // LETTER_POINTS).alias("alias"), F.char_length("alias").alias("letters")).dropDuplicates(["match_type", "letters"])
+    scored = sizes.select("match_type", "letters", F.array(*[_score(F.lit(None).cast("int"), F.lit(source)) for source in WEIGHTS]).alias("scores"))
+    scores = {(r["match_type"], r["letters"]): r["scores"] for r in scored.collect()}
+    order, owned = {e: i for i, e in enumerate(sorted({r["entity"] for r in listed}, key=lambda e: (e is not None, e)))}, {}
+    for r in listed:
+        owned.setdefault(r["alias"], []).append((r["_owner"], order[r["entity"]], r["kind"], r["match_type"], r["alone"], scores[r["match_type"], len(r["alias"])]))
+    judge = functools.partial(_told, owned=owners.sparkSession.sparkContext.broadcast(owned))
+    told = M.judged_rows(texts, ["doc_id", "expected", *keep], ["evidence", "anchor", "expected"], list(owned), judge, ["_owner", "_source", "start", "score"])
+    named = told.join(F.broadcast(owners), "_owner", "left" if keep else "inner")
+    source = F.get(F.array(*map(F.lit, WEIGHTS)), F.col("_source").cast("int")).alias("source")
+    return named.select("doc_id", "expected", *keep, source, "entity", "kind", "alias", "match_type", F.col("start").cast("int").alias("start"), F.col("score").cast("int").alias("score"))
+
+
+def _all_marks(texts: DataFrame, owners: DataFrame) -> DataFrame:
+    """All marks of all evidence, with a dictionary of any size."""
+    texts = texts.select("doc_id", "expected", "anchor", F.explode("evidence").alias("e")).select("doc_id", "expected", "anchor", "e.*").where("k <> ''")
+    how = F.coalesce(*[F.when(F.col("source") == k, F.lit(v)) for k, v in HOW.items()], F.lit("near"))
+    rows = texts.withColumn("k", F.explode(F.when(F.col("source") == "company_candidates", F.split("k", " ")).otherwise(F.array("k")))).withColumn("how", how)
+    found = M.placed_mentions(rows, ["doc_id", "expected", "source"], "k", "anchor", "how", owners, TIERS)
+    every = found.join(owners.drop("_owner"), "alias")
     short = F.col("match_type") == "short_alias"
     again = (F.col("source") == "raw_candidate") & short & (F.col("kind") == F.col("expected")) & (F.col("_n") == 1)
     every = every.where((F.col("how") == "near") | ~short | again).withColumn("source", F.when(again, "industry_reresolve").otherwise(F.col("source")))
     every = every.withColumns({c: F.when(F.col("how") == "near", F.col(c)) for c in ("start", "distance")})
-    every = every.withColumn("score", _score(F.col("distance")))
+    every = every.withColumn("score", _score(F.col("distance"), F.col("source")))
     order = F.struct((-F.col("score")).alias("o"), (-F.char_length("alias")).alias("l"), F.coalesce("start", F.lit(10**9)).alias("p"), "alias")
     # all that follows is by document, so rows move once
     best = every.repartition("doc_id").groupBy("doc_id", "expected", "source", "entity", "kind").agg(F.min(F.struct(order.alias("order"), "match_type", "start", "score")).alias("m"))
     return best.select("doc_id", "expected", "source", "entity", "kind", F.col("m.order.alias").alias("alias"), "m.match_type", "m.start", "m.score")
 
 
-def attributed(known: DataFrame, marks: DataFrame) -> DataFrame:
+def attributed(known: DataFrame | None, marks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: entity, basis, confidence, margin to the next entity, needs_review and reason.
 
+    The documents are those known; without them, those of the marks, whose columns to keep come first.
+
     The best mark wins (score, longer alias, earlier place, smaller entity, source), but where a kind is expected, the
     best one of that kind that is no short alias. A document is reviewed without any mark, with one of the wrong kind,
     with a short alias that no other evidence backs, and below LEAST_SCORE.
@@ -184,11 +276,11 @@ def attributed(known: DataFrame, marks: DataFrame) -> DataFrame:
     fits = F.coalesce((F.col("kind") == F.col("expected")) & (F.col("match_type") != "short_alias"), F.lit(False))
     first = F.row_number().over(mine.orderBy(fits.cast("int").desc(), *order))
     rows = marks.withColumn("_n", first)
-    chosen = F.max(F.when(F.col("_n") == 1, F.struct("entity", "kind", "alias", "match_type", "source", "score"))).over(mine)
+    chosen = F.max(F.when((F.col("_n") == 1) & F.col("source").isNotNull(), F.struct("entity", "kind", "alias", "match_type", "source", "score"))).over(mine)
     rows = rows.withColumn("c", chosen)
     backs = (F.col("entity") == F.col("c.entity")) & (F.col("match_type") != "short_alias") & (F.char_length("alias") >= F.char_length("c.alias"))
-    facts = rows.groupBy("doc_id").agg(F.max("c").alias("c"), F.max(backs).alias("backed"), F.max(F.when(F.col("entity") != F.col("c.entity"), F.col("score"))).alias("next"))
-    out = known.select("doc_id", "expected").join(facts, "doc_id", "left")
+    facts = rows.groupBy("doc_id", *(["expected", *keep] if known is None else [])).agg(F.max("c").alias("c"), F.max(backs).alias("backed"), F.max(F.when(F.col("entity") != F.col("c.entity"), F.col("score"))).alias("next"))
+    out = facts if known is None else known.select("doc_id", "expected").join(facts, "doc_id", "left")
     lone = (F.col("c.match_type") == "short_alias") & ~F.col("backed")
     wrong = F.coalesce(F.col("expected") != F.col("c.kind"), F.lit(False))
     reason = F.when(F.col("c").isNull(), "no evidence").when(wrong, "kind conflict").when(lone, "short alias").when(F.col("c.score") < LEAST_SCORE, "low score").otherwise("")
@@ -196,7 +288,7 @@ def attributed(known: DataFrame, marks: DataFrame) -> DataFrame:
     for source, name in BASIS.items():
         basis = basis.when(F.col("c.source") == source, name)
     confidence = F.least(F.lit(MOST_CONFIDENCE), F.coalesce(F.col("c.score"), F.lit(0)))
-    return out.select("doc_id", F.col("c.entity").alias("entity"), basis.otherwise(F.col("c.source")).alias("basis"), confidence.cast("int").alias("confidence"), (F.col("c.score") - F.col("next")).cast("int").alias("margin"), (reason != "").alias("needs_review"), reason.alias("reason"))
+    return out.select("doc_id", *keep, F.col("c.entity").alias("entity"), basis.otherwise(F.col("c.source")).alias("basis"), confidence.cast("int").alias("confidence"), (F.col("c.score") - F.col("next")).cast("int").alias("margin"), (reason != "").alias("needs_review"), reason.alias("reason"))
 
 
 def _pick(column: str, values: dict[str, int]) -> str:

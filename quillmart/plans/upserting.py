@@ -115,14 +115,11 @@ def adjudication(spark, d):
     The first layer that fails decides: an article that does not count is ineligible; a name that fails is rejected, or
     handed on where the case is risky; an unsure owner or event is handed on; the rest is accepted.
     """
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.select("doc_id", F.char_length("text").alias("letters"), (F.char_length("text") - F.char_length(F.replace("text", F.lit("|"), F.lit("")))).alias("bars"), X.sentences(F.col("text")).alias("s"))
-    words = F.filter(F.transform(F.split(F.get("s", F.lit(0)), " "), X.search_key), lambda w: w != "")
-    anchor = F.coalesce(F.array_min(F.transform(words, lambda w: F.struct((-F.char_length(w)).alias("l"), w.alias("w"))))["w"], F.lit(""))
-    rows = rows.withColumn("anchor", anchor)
-    later = F.exists(F.slice("s", F.lit(2), F.greatest(F.size("s"), F.lit(1))), lambda x: (F.col("anchor") != "") & F.contains(X.search_key(x), F.col("anchor")))
-    owners = A.attribution(spark, d).select("doc_id", "entity", F.col("needs_review").alias("unsure"), F.col("reason").alias("why"), "margin")
-    rows = rows.select("doc_id", "letters", "bars", "anchor", F.col("anchor").rlike("[0-9]").alias("number"), later.alias("later")).join(owners, "doc_id")
+    # checks and owners come out of one reading of a document
+    facts = ("letters", "bars", "anchor", "later")
+    texts = A.evidence(spark, d)[1].where("doc_id IS NOT NULL")
+    owners = A.attributed(None, A.scored_evidence(None, texts, A.dictionary(spark, d), facts), facts)
+    rows = owners.select("doc_id", *facts, F.col("anchor").rlike("[0-9]").alias("number"), "entity", F.col("needs_review").alias("unsure"), F.col("reason").alias("why"), "margin")
     failed = F.array_compact(F.array(*[F.when(F.expr(test), F.concat(F.lit(f"{layer}: {name} ["), F.coalesce(F.expr(evidence).cast("string"), F.lit("")), F.lit("]"))) for layer, name, test, evidence in CHECKS]))
     decided = rows.withColumns({"decision": F.expr(_DECISION), "failed": F.array_join(failed, "; ")})
     return decided.select("doc_id", "decision", F.when(F.col("decision") == "accept", ACCEPTED).otherwise(HELD).alias("confidence"), "failed")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmart.operators import mentions as M
 from quillmart.plans import attribution as A
+from quillmart.plans import upserting as U
 
 
 def table(spark, rows, schema):
@@ -123,3 +124,55 @@ def test_attribution_reads_its_documents_once(spark, sf_dir):
     """Evidence is matched in one pass over the documents and moved once, beside their ids and kinds."""
     plan = A.attribution(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+def random_evidence(spark, seed=5):
+    """A dictionary whose words are in each other and have several owners, and documents with all kinds of evidence."""
+    rnd = random.Random(seed)
+    made = sorted({"".join(rnd.choice("abü") for _ in range(rnd.randrange(2, 7))) for _ in range(40)})
+    kinds = {e: rnd.choice(["long", "short"]) for e in range(12)}
+    words = []
+    for w in made:
+        owners = rnd.sample(range(12), rnd.choice([1, 1, 2, 3]))
+        words += [(e, w, kinds[e], "short_alias" if len(owners) > 1 else rnd.choice(["normalized", "full_alias"])) for e in owners]
+    text = lambda most: "".join(rnd.choice("abüx") for _ in range(rnd.randrange(most)))
+    known, texts = [], []
+    for i in range(150):
+        known.append((i, rnd.choice([None, "long", "short"]), rnd.choice(["", "ab", "ü", "xx"]), ""))
+        for source in [*A.WEIGHTS]:
+            if source != "industry_reresolve" and rnd.random() < 0.6:
+                texts.append((i, source, " ".join(rnd.choice([*made, "zz"]) for _ in range(4)) if source == "company_candidates" else rnd.choice([text(500), text(12), rnd.choice(made), "x" * 9])))
+    return table(spark, words, "entity long, alias string, kind string, match_type string"), table(spark, known, "doc_id long, expected string, anchor string, raw string"), table(spark, texts, "doc_id long, source string, k string")
+
+
+def test_few_marks_tell_what_all_marks_tell(spark, monkeypatch):
+    """Documents are judged in their rows: three marks at most leave one, and the result is that of all marks."""
+    words, known, texts = random_evidence(spark)
+    few = A.scored_evidence(known, texts, words)
+    assert few.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+    got = sorted((tuple(r) for r in A.attributed(known, few).collect()), key=repr)
+    monkeypatch.setattr(M, "PART_BYTES", 40)
+    every = A.scored_evidence(known, texts, words)
+    assert every.count() > 5 * few.count()
+    expected = sorted((tuple(r) for r in A.attributed(known, every).collect()), key=repr)
+    assert got == expected and len({r[-1] for r in got}) > 3 and len({r[2] for r in got}) > 4
+
+
+@pytest.mark.parametrize("part_bytes", [2 << 20, 40])
+def test_documents_without_a_mark_keep_their_facts(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(M, "PART_BYTES", part_bytes)
+    words, known, texts = random_evidence(spark)
+    rows = texts.groupBy("doc_id").agg(F.collect_list(F.struct("source", "k")).alias("evidence")).join(known, "doc_id").withColumn("fact", F.col("doc_id") * 3)
+    marks = A.scored_evidence(None, rows, words, ("fact",))
+    got = {r["doc_id"]: tuple(r) for r in A.attributed(None, marks, ("fact",)).collect()}
+    plain = {r["doc_id"]: tuple(r) for r in A.attributed(known, A.scored_evidence(known, texts, words)).collect()}
+    assert got == {i: (i, 3 * i, *r[1:]) for i, r in plain.items() if i in got} and len(got) == rows.count()
+    # no dictionary at all
+    none = A.scored_evidence(None, rows, words.where("false"), ("fact",))
+    assert {r["reason"] for r in A.attributed(None, none, ("fact",)).collect()} == {"no evidence"} and none.count() == rows.count()
+
+
+def test_adjudication_reads_its_documents_once(spark, sf_dir):
+    """Checks and owners come out of one reading and move once."""
+    plan = U.adjudication(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1
