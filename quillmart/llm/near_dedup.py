@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,29 +32,57 @@ _MULTIPLY = (_rng.randint(0, 2**62, COORDINATES).astype(np.uint64) << np.uint64(
 _ADD = _rng.randint(0, 2**62, COORDINATES).astype(np.uint64)
 
 
-class _Words(dict):
-    """64-bit hash of a word; emptied when it has a hundred thousand words, some 20 MB."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 100_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
-def shingles(text: str | None) -> np.ndarray:
+#: Bytes of words that are hashed at a time, and 64-bit numbers for the values of a byte (A-Z as a-z) and its place in a word.
+HASHED_BYTES = 1 << 20
+_VALUES = _rng.randint(0, 2**62, 256).astype(np.uint64) * np.uint64(4) + _rng.randint(0, 4, 256).astype(np.uint64)
+_VALUES[65:91] = _VALUES[97:123]
+_IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def _places(n: int) -> np.ndarray:
+    """An odd 64-bit number for each of the first n places of a word."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * _MIX1
+    x = (x ^ (x >> np.uint64(30))) * _MIX2
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+
+
+_PLACES = _places(256)
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hash of each word in order: its bytes' numbers times those of their places, summed up."""
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _IN_WORD[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + HASHED_BYTES)))
+        long = sizes[first:last]
+        begin = np.cumsum(long) - long
+        place = np.arange(long.sum()) - np.repeat(begin, long)
+        part = slice(starts[first], starts[last - 1] + long[-1])
+        bytes_ = data[part][inside[1:-1][part]]
+        most = int(long.max())
+        numbers = _PLACES if most <= len(_PLACES) else _places(most)
+        out[first:last] = np.add.reduceat(_VALUES[bytes_] * numbers[place], begin) + long.astype(np.uint64) * _MIX1
+        first = last
+    out ^= out >> np.uint64(32)
+    out *= _MIX2
+    return out ^ (out >> np.uint64(29))
+
+
+def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles; of fewer words the whole sequence is one.
 
-    A-Z is lower-cased and words end at ASCII white space, both on the UTF-8 bytes, where no other character holds
-    those bytes. No text or no word gives an empty set.
+    A-Z counts as a-z and words end at ASCII white space, both in the UTF-8 bytes, where no other character holds those
+    bytes. No text or no word gives an empty set.
     """
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = _word_hashes(text or b"")
+    if not len(h):
+        return h
     width = min(SHINGLE_WORDS, len(h))
     n = len(h) - width + 1
     s = np.full(n, np.uint64(width))
@@ -63,7 +90,15 @@ def shingles(text: str | None) -> np.ndarray:
         s = s * _MIX1 + h[k : k + n]
         s ^= s >> np.uint64(29)
     s *= _MIX2
-    return np.unique(s ^ (s >> np.uint64(32)))
+    s ^= s >> np.uint64(32)
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    """The texts as the UTF-8 bytes that they are."""
+    texts = batch["text"]
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -72,7 +107,7 @@ def signature(s: np.ndarray) -> bytes:
         return b""
     low = np.full(COORDINATES, np.uint64(2**64 - 1))
     for at in range(0, len(s), 4096):
-        low = np.minimum(low, (s[at : at + 4096, None] * _MULTIPLY + _ADD).min(0))
+        low = np.minimum(low, (_MULTIPLY[:, None] * s[at : at + 4096] + _ADD[:, None]).min(1))
     return (low >> np.uint64(32)).astype("<u4").tobytes()
 
 
@@ -96,7 +131,7 @@ def _set_key(s: np.ndarray) -> bytes:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _small(batches):
-        sets = [shingles(t) for t in batch["text"].to_pylist()]
+        sets = [shingles(t) for t in _texts(batch)]
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"], batch["h1"], batch["h2"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([signature(s) for s in sets], pa.binary())],
             names=["doc_id", "h1", "h2", "n_shingles", "set_key", "sig"],
@@ -105,7 +140,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _small(batches):
-        sets = [shingles(t) for t in batch["text"].to_pylist()]
+        sets = [shingles(t) for t in _texts(batch)]
         right = pa.array([_set_key(s) == k for s, k in zip(sets, batch["set_key"].to_pylist(), strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays(
             [batch["cls"], pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))],
@@ -176,13 +211,50 @@ def _may_link(a: str, b: str) -> Column:
     return 100 * common >= 75 * (size - common)
 
 
-def _bits_allow(a: str, b: str, n: Column) -> Column:
-    """Whether parity tables allow a link, which needs a symmetric difference of at most a seventh of the sizes' sum.
+#: Pairs of a cell whose parity tables are compared at a time, some 16 MB for each side.
+COMPARED = 1 << 16
 
-    The tables differ in no more bits than the sets in shingles.
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n: sum of sizes) of the pairs of each cell that may be links of two components, out of rows in order of cells.
+
+    A cell's left members lie outside the largest component of their list, its right ones are all of a part of the list.
+    Pairs within a component are left out, and those that sizes, shared shingles or parity tables rule out: a link needs
+    a symmetric difference of at most a seventh of the sizes' sum, and the tables differ in no more bits.
     """
-    apart = sum((F.bit_count(F.get(F.col(a), i).bitwiseXOR(F.get(F.col(b), i))) for i in range(PARITY_WORDS)), F.lit(0))
-    return 7 * apart <= n
+    names = ["token", "row", "column", "left", "cls", "label", "n", "s", "most"]
+
+    def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        side = np.flatnonzero(rows["left"]), np.flatnonzero(~rows["left"])
+        cls, label, n, s = ([rows[c][x] for x in side] for c in ("cls", "label", "n", "s"))
+        for at in range(0, len(side[0]), strip := max(1, (1 << 20) // max(1, len(side[1])))):
+            own = slice(at, at + strip)
+            size, common = n[0][own, None] + n[1], np.minimum(s[0][own, None], s[1])
+            # between two members outside the largest component each pair is looked at once
+            once = (label[1] == rows["most"][0]) | (cls[0][own, None] < cls[1])
+            i, j = np.nonzero((label[0][own, None] != label[1]) & once & (100 * common >= 75 * (size - common)))
+            for k in range(0, len(i), COMPARED):
+                p, q = i[k : k + COMPARED] + at, j[k : k + COMPARED]
+                apart = np.bitwise_count(rows["bits"][side[0][p]] ^ rows["bits"][side[1][q]]).sum(1, dtype=np.int64)
+                may = 7 * apart <= n[0][p] + n[1][q]
+                a, b = cls[0][p[may]], cls[1][q[may]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), n[0][p[may]] + n[1][q[may]])], names=["a", "b", "n"])
+
+    kept = None
+    for batch in batches:
+        rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in names}
+        rows["bits"] = batch["bits"].flatten().to_numpy().view(np.uint64).reshape(-1, PARITY_WORDS)
+        if kept:
+            rows = {c: np.concatenate([kept[c], x]) for c, x in rows.items()}
+        new = np.zeros(max(0, len(rows["token"]) - 1), bool)
+        for c in names[:3]:
+            new |= rows[c][1:] != rows[c][:-1]
+        starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(starts, starts[1:]):
+            yield from pairs({c: x[a:b] for c, x in rows.items()})
+        kept = {c: x[starts[-1] :] for c, x in rows.items()}
+    if kept and len(kept["token"]):
+        yield from pairs(kept)
 
 
 def _confirm(pairs: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,14 +333,14 @@ def _judged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = at.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("m.label").alias("most"))
     among = join_unique(at, largest, "token", hot_tokens).join(facts.select("cls", "bits"), "cls")
-    among = durable(among.select(*[F.col(c).alias(f"{c}_a") for c in ("cls", "label", "n", "s", "bits")], "token", "most"))
-    left = _grid(among.where("label_a <> most"), hot_tokens, "row", "column", "cls_a")
-    right = _grid(among.select("token", *[F.col(f"{c}_a").alias(f"{c}_b") for c in ("cls", "label", "n", "s", "bits")]), hot_tokens, "column", "row", "cls_b")
-    # between two members outside the largest component each pair is looked at once
-    once = (F.col("label_b") == F.col("most")) | (F.col("cls_a") < F.col("cls_b"))
-    sizes = F.col("n_a") + F.col("n_b")
-    met = left.join(right, ["token", "row", "column"]).where((F.col("label_a") != F.col("label_b")) & once & _may_link("{}_a", "{}_b") & _bits_allow("bits_a", "bits_b", sizes))
-    links = links.unionByName(_confirm(met.select(*_pair("cls_a", "cls_b", sizes)).distinct(), facts, sets))
+    among = durable(among.select("cls", "label", "n", "s", "bits", "token", "most"))
+    left = _grid(among.where("label <> most"), hot_tokens, "row", "column", "cls").withColumn("left", F.lit(True))
+    right = _grid(among, hot_tokens, "column", "row", "cls").withColumn("left", F.lit(False))
+    # a number of tasks that stays: few bytes make many pairs
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = left.unionByName(right).repartition(tasks, "token", "row", "column").sortWithinPartitions("token", "row", "column")
+    met = cells.mapInArrow(_met, "a long, b long, n long")
+    links = links.unionByName(_confirm(met.distinct(), facts, sets))
 
     same = _same_id_links(linkable, classes, hot_sets)
     joined = durable(connected_components(links if same is None else links.unionByName(same), "a", "b"))

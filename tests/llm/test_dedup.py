@@ -7,8 +7,9 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
-from llm_rows import documents, with_clashes
+from llm_rows import LONG, documents, with_clashes
 
 from quillmart.llm import exact_dedup, near_dedup
 
@@ -168,6 +169,48 @@ def test_near_dedup_deals_large_lists(spark, monkeypatch):
     check_near(documents(spark, [(i, t, None, None) for i, t in enumerate(rows)]))
 
 
+def test_words_are_hashed_as_white_space_parts_them(monkeypatch):
+    rnd = random.Random(4)
+    texts = ["", " \t\n", "a", "A b\x0bB  a\x1cb", LONG, "x" * 3000 + " y " + "x" * 3000, *("".join(rnd.choice("abAB \n\u00fc\u2003\x00") for _ in range(90)) for _ in range(80))]
+    of, seen = {}, []
+    for size in (near_dedup.HASHED_BYTES, 40):
+        monkeypatch.setattr(near_dedup, "HASHED_BYTES", size)
+        for t in texts:
+            words, hashes = t.encode().lower().split(), near_dedup._word_hashes(t.encode()).tolist()
+            assert len(words) == len(hashes)
+            seen += zip(words, hashes, strict=True)
+    of = dict(seen)
+    assert all(of[w] == h for w, h in seen) and len({*of.values()}) == len(of) > 500
+
+
+def test_near_dedup_judges_the_pairs_of_a_list_in_its_cell(spark, monkeypatch):
+    """Lists of many that are no near copies: pairs and tables are compared in the task, not by a join."""
+    monkeypatch.setattr(near_dedup, "COMPARED", 7)
+    rnd = random.Random(6)
+    sets = [np.array(sorted(rnd.sample(range(35), 30)), np.uint64) for _ in range(50)]
+    rows, want = [], set()
+    for token, members in ((1, range(25)), (2, range(20, 50)), (3, [4])):
+        for i in members:
+            row = (token, 0, 0, i, i // 3, len(sets[i]), len(sets[i]) - i % 2 * 4, near_dedup.parities(sets[i]).tolist(), 2)
+            rows += [(*row, False)] + [(*row, True)] * (i // 3 != 2)
+        for i in members:
+            for j in members:
+                n, s = len(sets[i]) + len(sets[j]), min(30 - i % 2 * 4, 30 - j % 2 * 4)
+                if i < j and i // 3 != j // 3 and 100 * s >= 75 * (n - s) and 7 * len({*sets[i].tolist()} ^ {*sets[j].tolist()}) <= n:
+                    want.add((i, j, n))
+    df = spark.createDataFrame(rows, "token long, row int, column int, cls long, label long, n long, s long, bits array<long>, most long, left boolean")
+    cells = df.repartition(3, "token", "row", "column").sortWithinPartitions("token", "row", "column")
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = [tuple(r) for r in cells.mapInArrow(near_dedup._met, "a long, b long, n long").collect()]
+        assert {*got} == want and 0 < len(want) < 400
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plans = []
+    monkeypatch.setattr(near_dedup, "_confirm", lambda pairs, *rest, f=near_dedup._confirm: (plans.append(pairs._jdf.queryExecution().toString()), f(pairs, *rest))[1])
+    near_dedup.near_duplicates(spark.createDataFrame([(i, f"t {i} " + "a b c d e f g " * 3) for i in range(9)], "doc_id long, text string"))
+    assert len(plans) == 2 and not any("bit_count" in x for x in plans)
+
+
 def test_drop_near_copies_keeps_columns(edge):
     wide = with_clashes(edge)
     kept = near_dedup.drop_near_copies(wide)
