@@ -100,3 +100,29 @@ def test_judged_is_the_first_rule_that_holds(spark):
     df = spark.createDataFrame([(True, True, 1), (False, True, 2), (None, None, 2), (False, False, 0)], "veto boolean, fine boolean, n int")
     got = V.judged(df, rules, "grey").select("accepted", "confidence", "reason").collect()
     assert [tuple(r) for r in got] == [(False, 0, "no"), (True, 92, "yes"), (True, 10, "late"), (False, 0, "grey")]
+
+
+def test_rules_are_compiled(spark, sf_dir, capsys):
+    """The JVM compiles no method of more than 8,000 bytes; Spark would run it row by row as it reads it."""
+    import re
+
+    from quillmart import plans
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans.QUERIES["merge_rules"](spark, sf_dir).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(sizes) > 3 and max(sizes) < 8000
+
+
+def test_many_rules_are_judged_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(V, "RULES", 3)
+    rules = [(i % 3 > 0, str(i), f"rule {i}", f"x = {i} OR y = {i}") for i in range(11)]
+    rows = [(x, y) for x in (None, *range(12)) for y in (None, *range(12))]
+    got = V.judged(spark.createDataFrame(rows, "x int, y int"), rules, "grey").collect()
+    for r in got:
+        i = min([v for v in (r.x, r.y) if v is not None and v < 11], default=None)
+        assert (r.accepted, r.confidence, r.reason) == ((False, 0, "grey") if i is None else (i % 3 > 0, i, f"rule {i}"))
+    assert len(got) == len(rows)
